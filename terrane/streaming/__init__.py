@@ -1,0 +1 @@
+"""streaming"""
