@@ -5,11 +5,15 @@ from .decontaminate import op4_decontamination
 from .mixing import op3_mixing
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .simhash import op6_simhash
+from .substrings import op5_substrings
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_substrings": op5_substrings,
+    "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
-ORACLES = {"op3_mixing": oracles.OP3, "op4_decontamination": oracles.OP4, "op8_quality": oracles.OP8}
+ORACLES = {"op3_mixing": oracles.OP3, "op4_decontamination": oracles.OP4, "op5_substrings": oracles.OP5, "op8_quality": oracles.OP8}
