@@ -2,18 +2,24 @@
 
 from . import oracles
 from .decontaminate import op4_decontamination
+from .extraction import op10_extraction
 from .mixing import op3_mixing
 from .quality import op8_quality
 from .sharding import op9_sharding
 from .simhash import op6_simhash
 from .substrings import op5_substrings
+from .tokencount import op7_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
     "op6_simhash": op6_simhash,
+    "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_extraction": op10_extraction,
 }
 ORACLES = {"op3_mixing": oracles.OP3, "op4_decontamination": oracles.OP4, "op5_substrings": oracles.OP5, "op8_quality": oracles.OP8}
