@@ -3,6 +3,7 @@
 from . import oracles
 from .decontaminate import op4_decontamination
 from .extraction import op10_extraction
+from .lines import op2_lines
 from .mixing import op3_mixing
 from .quality import op8_quality
 from .sharding import op9_sharding
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_lines": op2_lines,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_substrings": op5_substrings,
