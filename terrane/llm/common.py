@@ -117,3 +117,65 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 50) -> DataFram
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front so that ``df`` has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+SMALL_ROWS = 200_000
+
+
+def without(docs: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
+    """Rows of ``docs`` whose ``on`` is not in ``keys``; ``keys``, written already, is broadcast if it is under SMALL_ROWS."""
+    names = [free(docs, f"key{i}") for i in range(len(on))]
+    right = keys.toDF(*[n + "_" for n in names])
+    right = F.broadcast(right) if right.count() <= SMALL_ROWS else right
+    left = docs.withColumns(dict(zip(names, on)))
+    same = left[names[0]].eqNullSafe(right[names[0] + "_"])
+    for n in names[1:]:
+        same = same & left[n].eqNullSafe(right[n + "_"])
+    return left.join(right, same, "left_anti").drop(*names)
+
+
+def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close, verify, bucket: int, key: list[str]) -> DataFrame:
+    """(u, v) links between the ``id`` of ``keyed(*key, id, *attrs)`` that share a key, whose components are those of all links.
+
+    ``close(prefix)`` is a cheap condition between a row's ``attrs`` and those named with ``o_``; ``verify`` takes
+    pairs (u, v) to those that are links. Buckets of up to ``bucket`` members compare all pairs. In a fuller one the
+    least open member is compared with all; those it links to are closed, as they are connected to it; this repeats
+    until at most ``bucket`` members are open, which are then compared with all. No bucket is cut short.
+    """
+    sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = scratch.write(keyed.join(sizes, key))
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select(*key, *[F.col(c).alias(f"o_{c}") for c in ["id", *attrs]])
+
+    def pairs(a: DataFrame, b: DataFrame, which: Column) -> DataFrame:
+        both = a.join(other(b), key).where(which).where(close)
+        return both.select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
+
+    differ = F.col("id") != F.col("o_id")
+    few = met.where(F.col("n") <= bucket).drop("n")
+    found = scratch.write(verify(pairs(few, few, F.col("id") < F.col("o_id"))))
+    is_open = crowd = met.where(F.col("n") > bucket).drop("n")
+    if not crowd.limit(1).count():
+        return found
+    crowd = is_open = scratch.write(crowd)
+    while True:
+        least = is_open.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.min(F.struct("id", *attrs)).alias("r")).where(F.col("open") > bucket)
+        first = scratch.write(least.select(*key, "r.*"))
+        if not first.limit(1).count():
+            break
+        linked = scratch.write(verify(pairs(crowd, first, differ)))
+        found = scratch.write(found.unionByName(linked))
+        ends = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        closed = first.select(*key, F.col("id").alias("u")).join(ends, "u").select(*key, F.col("v").alias("id"))
+        closed = closed.unionByName(first.select(*key, "id")).distinct()
+        is_open = scratch.write(is_open.join(closed, [*key, "id"], "left_anti"))
+    return scratch.write(found.unionByName(verify(pairs(crowd, is_open, differ))))

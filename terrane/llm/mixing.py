@@ -49,60 +49,76 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken.
+def _expected(cap: int):
+    """Expected copies, their whole part, the inclusion probability and the Pareto rank of ``(doc_id, size, f)``."""
+    w = F.floor(F.lit(5040) / F.length(F.bin("size"))).cast("long")
+    e = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.coalesce(F.col("f") * w, F.lit(float(cap))))).otherwise(F.lit(0.0))
+    return w, e
 
-    ``copies`` is how often the mix takes the document, ``taken`` the words that makes.
-    """
-    scratch = Scratch(spark, "mix")
-    sizes = scratch.write(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
-    targets = source_targets(sizes, weights, share, float(cap))
 
-    # Expected copies: a source's factor f solves sum(min(cap, f * w) * size) = target over its size classes.
-    sizes = sizes.withColumn("w", F.floor(F.lit(5040) / F.length(F.bin("size"))).cast("long"))
-    classes = sizes.groupBy("source", "w").agg(F.sum("size").alias("n"))
-    down = Window.partitionBy("source").orderBy(F.desc("w"))
+def with_rank(df: DataFrame, cap: int, seed: str) -> DataFrame:
+    """``df(doc_id, size, f)`` with ``whole`` (certain copies) and ``rank`` (null: no copy beyond those)."""
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    draw = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    df = df.withColumn("e", _expected(cap)[1]).withColumn("whole", F.floor("e").cast("long")).withColumn("u", draw)
+    p = F.col("e") - F.col("whole")
+    return df.withColumn("rank", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))).drop("e", "u")
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+
+
+def mixing_plan(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """One row a source: source_size, target, the factor ``f`` of its expected copies, and the last place it takes.
+
+    That is all a mix needs: any row can be judged by its source's row alone.
+    """
+    targets = source_targets(sizes, weights, share, float(cap)).withColumnRenamed("source", "source_")
+    # A source's factor f solves sum(min(cap, f * w) * size) = target over its size classes, by water filling.
+    classes = sizes.withColumn("w", _expected(cap)[0]).groupBy("source", "w").agg(F.sum("size").alias("n"))
+    down = Window.partitionBy("source").orderBy(F.desc("w"))  # a source has at most 64 classes
     above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing)
-    t = targets.withColumnRenamed("source", "source_")
-    classes = classes.join(t, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumns({
+    classes = classes.join(targets, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumns({
         "left": F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("n").over(above), F.lit(0)),
         "wn": F.sum(F.col("w") * F.col("n")).over(below),
     }).withColumn("f", F.when(F.col("wn") > 0, F.col("left") / F.col("wn")))
     good = F.col("f") * F.col("w") <= F.lit(float(cap))
-    factors = classes.groupBy("source", "source_size", "target").agg(F.max_by(F.when(good, F.col("f")), F.when(good, F.col("w"))).alias("f"))
-    factors = factors.withColumnRenamed("source", "source_")
-
-    draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    expected = F.least(F.lit(float(cap)), F.coalesce(F.col("f") * F.col("w"), F.lit(float(cap))))
-    ranked = (
-        sizes.join(factors, F.col("source").eqNullSafe(F.col("source_")))
-        .withColumn("e", F.when(F.col("size") > 0, expected).otherwise(F.lit(0.0)))
-        .withColumn("whole", F.floor("e").cast("long"))
-        .withColumn("p", F.col("e") - F.col("whole"))
-        .withColumn("u", draw)
-        .withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("no_source", F.col("source").isNull())
-        .withColumn("extra", F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(F.lit(0)))
-        .withColumn("never", F.col("rank").isNull())
-        .select("doc_id", "source", "no_source", "size", "source_size", "target", "whole", "never", "rank", "extra")
-    )
-    order = ["no_source", "source", "never", "rank", "doc_id"]
-    summed = scratch.write(running_sum(scratch, ranked, order, "extra", "upto"))
-    starts = summed.groupBy("source").agg(
-        F.min(F.col("upto") - F.col("extra")).alias("start"), F.sum(F.col("whole") * F.col("size")).alias("sure")
-    ).withColumnRenamed("source", "source_")
-    # A tie (rows of one draw and doc_id) goes in as a whole: its end counts for each of its rows.
-    ends = summed.where("not never").groupBy("source", "rank", "doc_id").agg(F.max("upto").alias("end"), F.sum("extra").alias("tie"), F.count(F.lit(1)).alias("rows"))
-    repeated = ends.where("rows > 1").select(F.col("source").alias("s_"), F.col("rank").alias("r_"), F.col("doc_id").alias("d_"), "end", "tie")
-    summed = summed.join(starts, F.col("source").eqNullSafe(F.col("source_")))
-    summed = summed.join(repeated, F.col("source").eqNullSafe(F.col("s_")) & (F.col("rank") == F.col("r_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left")
-    middle = F.coalesce(F.col("end"), F.col("upto")) - F.col("start") - F.coalesce(F.col("tie"), F.col("extra")) / 2
-    take = ~F.col("never") & (middle <= F.col("target") - F.col("sure"))
-    return summed.withColumn("copies", F.col("whole") + F.when(take, F.lit(1)).otherwise(F.lit(0))).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    factors = scratch.write(classes.groupBy("source", "source_size", "target").agg(F.max_by(F.when(good, F.col("f")), F.when(good, F.col("w"))).alias("f")))
+
+    named = factors.withColumnRenamed("source", "source_")
+    ranked = with_rank(sizes.join(named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_"), cap, seed)
+    sure = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
+    # Rows of one draw and doc_id are one place in the order, taken or left together.
+    places = ranked.where("rank is not null").groupBy("source", "rank", "doc_id").agg(F.sum("size").alias("extra"))
+    places = places.withColumns({"no_source": F.col("source").isNull(), "no_id": F.col("doc_id").isNull()})
+    order = ["no_source", "source", "rank", "no_id", "doc_id"]
+    summed = scratch.write(running_sum(scratch, places, order, "extra", "upto"))
+    starts = summed.groupBy("source").agg(F.min(F.col("upto") - F.col("extra")).alias("start"))
+    per = factors
+    for other in (sure, starts):
+        other = other.withColumnRenamed("source", "source_")
+        per = per.join(other, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    per = scratch.write(per.withColumn("room", F.col("target") - F.coalesce("sure", F.lit(0)) + F.coalesce("start", F.lit(0))))
+    room = per.select(F.col("source").alias("source_"), "room")
+    taken = summed.join(room, F.col("source").eqNullSafe(F.col("source_"))).where(F.col("upto") - F.col("extra") / 2 <= F.col("room"))
+    last = taken.groupBy(F.col("source").alias("source_")).agg(F.max("rank").alias("last_rank"), F.max_by(F.struct("no_id", "doc_id"), F.struct("rank", "no_id", "doc_id")).alias("last_id"))
+    per = per.join(last, F.col("source").eqNullSafe(F.col("source_")), "left")
+    return scratch.write(per.select("source", "source_size", "target", "f", "last_rank", "last_id"))
+
+
+def apply_plan(df: DataFrame, plan: DataFrame, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """``df(doc_id, source, size, ...)`` with source_size, target and ``copies``."""
+    plan = plan.withColumnRenamed("source", "source_")
+    df = with_rank(df.join(plan, F.col("source").eqNullSafe(F.col("source_"))), cap, seed)
+    here, last = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"), F.col("last_id")
+    taken = (F.col("rank") < F.col("last_rank")) | ((F.col("rank") == F.col("last_rank")) & (here <= last))
+    copies = F.col("whole") + F.when(taken, F.lit(1)).otherwise(F.lit(0))
+    return df.withColumn("copies", copies).drop("source_", "f", "whole", "rank", "last_rank", "last_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+    scratch = Scratch(spark, "mix")
+    sizes = scratch.write(sizes_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    mixed = apply_plan(sizes, mixing_plan(scratch, sizes))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

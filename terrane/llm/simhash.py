@@ -18,6 +18,7 @@ component whose doc_ids are all null has a null id. An empty table gives none.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import SMALL_ROWS, Scratch, components, free, text_key, verified_links, without
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def _votes(features: list[bytes]) -> int:
+    hashes = b"".join([xxhash.xxh64_digest(f, seed=42) for f in features])
+    bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(features)).tobytes(), "big")
+
+
+def word_fingerprint(text: str | None) -> int:
+    """A fingerprint of the words themselves, each counted by the number of binary digits of its frequency.
+
+    A changed word alters one feature rather than ``width`` shingles, so near copies stay within few bits.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return _votes([w for w, n in Counter(parts).items() for _ in range(n.bit_length())]) if parts else 0
+
+
 def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     """The unsigned fingerprint of one text; votes are counted ``block`` shingles at a time."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -50,12 +66,13 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int = 3) -> DataFrame:
-    """``keep`` and ``fp``, the fingerprint as a signed long; texts stream through in Arrow batches."""
+def fingerprints(docs: DataFrame, keep: list[str], width: int | None = 3) -> DataFrame:
+    """``keep`` (``width`` None: of single words) and ``fp``, the fingerprint as a signed long; texts stream through in Arrow batches."""
 
     def run(batches):
         for b in batches:
-            values = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], dtype=np.uint64).view(np.int64)
+            of = word_fingerprint if width is None else functools.partial(fingerprint, width=width)
+            values = np.array([of(t.as_py()) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(values, pa.int64())], names=[*keep, "fp"])
 
     source = docs.select(*keep, "text")
@@ -109,6 +126,76 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, keep: list[str], width
     return table.join(label, "fp")
 
 
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    """Similarity of the sets of word shingles; a text of fewer words is one shingle, one of none has none."""
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    both = len(sets[0] & sets[1])
+    return both / (len(sets[0]) + len(sets[1]) - both) if both else float(not sets[0] and not sets[1])
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 6, bucket: int = 64) -> DataFrame:
+    """(doc_id, k1, k2, n, first): rows by id and text, and whether they are the first of their group of near copies.
+
+    Texts are candidates if their word fingerprints differ in at most ``radius`` bits (covering masks, so no such
+    pair is missed) and are linked if their word shingles have the Jaccard similarity asked for. Equal texts are one
+    node. A node goes by the first 64 bits of its key; should two texts share those, the second is left alone.
+    """
+    scratch = Scratch(spark, "similar")
+    keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
+    table = scratch.write(fingerprints(keyed, ["doc_id", "k1", "k2"], None))
+    nodes = table.groupBy(F.col("k1").alias("id")).agg(F.min("fp").alias("fp"), F.min("k2").alias("k2"))
+    met = nodes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "m"))
+    met = met.select(F.xxhash64("t", "m").alias("key"), "id", "fp")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.write(pairs)
+        wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        small = wanted.count() <= SMALL_ROWS
+        some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+        texts = scratch.write(some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.text"))
+        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+
+        def run(batches):
+            for x in batches:
+                ok = pa.array([jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(x.column("a"), x.column("b"))], pa.bool_())
+                yield x.select(["u", "v"]).filter(ok)
+
+        return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= radius
+    links = verified_links(scratch, met, ["fp"], close, verify, bucket, ["key"])
+    roots = components(scratch, links).withColumnRenamed("node", "k1")
+    own = nodes.select(F.col("id").alias("k1"), F.col("k2").alias("own"))
+    rows = table.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(own, "k1").join(roots, "k1", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "k1")).withColumn("odd", F.col("k2") != F.col("own"))
+    group = [F.col("root"), F.when(F.col("odd"), F.col("k2"))]
+    rows = rows.select("doc_id", "k1", "k2", "n", group[0].alias("g"), group[1].alias("g2"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    firsts = rows.groupBy("g", "g2").agg(F.min(place).alias("place")).select(F.col("g").alias("h"), F.col("g2").alias("h2"), "place")
+    joined = rows.join(firsts, (F.col("g") == F.col("h")) & F.col("g2").eqNullSafe(F.col("h2")))
+    return scratch.write(joined.select("doc_id", "k1", "k2", "n", (place == F.col("place")).alias("first")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of least doc_id."""
+    rows = similar_groups(spark, docs, **how)
+    keys = [F.col("doc_id"), *text_key(F.col("text"))]
+    kept = without(docs, rows.where("not first").select("doc_id", "k1", "k2"), keys)
+    repeated = rows.where("first and n > 1").select("doc_id", "k1", "k2")
+    if not repeated.limit(1).count():
+        return kept
+    # Rows that are equal in id and text: one of them stays.
+    single = without(kept, repeated, keys)
+    names = [free(kept, f"key{i}") for i in range(3)]
+    right = repeated.toDF(*[n + "_" for n in names])
+    again = kept.withColumns(dict(zip(names, keys)))
+    same = again[names[0]].eqNullSafe(right[names[0] + "_"]) & (again[names[1]] == right[names[1] + "_"]) & (again[names[2]] == right[names[2] + "_"])
+    return single.unionByName(again.join(right, same, "left_semi").dropDuplicates(names).drop(*names))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_duplicates(spark, docs, ["doc_id"])

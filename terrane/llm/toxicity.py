@@ -211,21 +211,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     return {"known": known, "lexicon": lexicon, "w": w, "b": b, "labels": about}
 
 
-def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` and ``score``."""
+def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str], below: float | None = None) -> DataFrame:
+    """``keep`` and ``score``; with ``below``, the rows of a lower score and ``keep`` alone."""
     shared = spark.sparkContext.broadcast({k: model[k] for k in ("known", "lexicon", "w", "b")})  # at most FEATURES words
 
     def run(batches):
         m = shared.value
         for batch in batches:
             out = []
-            for t in batch.column("text"):
+            for t in batch.column(place):
                 cols, vals, _ = _row(t.as_py() or "", m["known"], m["lexicon"])
                 out.append(1 / (1 + np.exp(-np.clip(m["w"][cols] @ vals + m["b"], -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.float64())], names=[*keep, "score"])
-
-    source = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    return source.mapInArrow(run, source.select(*keep).withColumn("score", F.lit(0.0)).schema)
+            if below is None:
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(out, pa.float64())], names=[*keep, "score"])
+            else:
+                yield batch.select(keep).filter(pa.array(np.array(out) < below))
+
+    place = next((i for i, c in enumerate(keep) if c.lower() == "text"), len(keep))
+    source = docs.select(*keep) if place < len(keep) else docs.select(*keep, "text")
+    schema = docs.select(*keep).schema if below is not None else docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    return source.mapInArrow(run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
