@@ -81,9 +81,15 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int | None = 3) -> Dat
 
 
 def masks(radius: int) -> list[int]:
-    """The covering masks, as signed longs."""
+    """The covering masks, as signed longs, for a radius of 1 to 6.
+
+    The masks are the words of a linear code of length 64. Up to radius 5 it repeats the simplex code; at 6 it is the
+    first-order Reed-Muller code. Either way every mask keeps at least half of the bits, so buckets stay fine.
+    """
+    if not 1 <= radius <= 6:
+        raise ValueError("radius must be 1 to 6")
     size = 1 << (radius + 1)
-    vectors = [i % (size - 1) + 1 for i in range(BITS)]
+    vectors = [i % (size - 1) + 1 if radius < 6 else BITS + i for i in range(BITS)]
     out = []
     for v in range(1, size):
         m = sum(1 << i for i, c in enumerate(vectors) if (c & v).bit_count() & 1)
