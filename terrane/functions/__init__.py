@@ -1 +1 @@
-"""functions"""
+"""Column functions and numeric kernels."""

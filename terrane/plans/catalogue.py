@@ -1,4 +1,397 @@
-"""Queries of the engine's own operators, with the SQL that gives the same rows."""
+"""Queries of the engine's own operators, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+The deterministic layout of most queries is a hundred times the first two dimensions of the embeddings, with one
+kernel precision for all; random layouts have no SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane import sources
+from terrane.embed import kernels, layout
+from terrane.operators import calibration, covariates, landscape, merging, pairs, preprocess, quality
+from terrane.session import checkpointed, rounded
+
+from . import sql
+
+G, BETA0, PPX = 40, 0.1, 30
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def x_of(spark, sf) -> DataFrame:
+    return sources.dense(table(spark, sf, "embeddings"), "vec_id", vector="embedding")
+
+
+def y_of(spark, sf) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), (e[0].cast("double") * 100).alias("y1"), (e[1].cast("double") * 100).alias("y2"), F.lit(BETA0).alias("beta"), "label"
+    )
+
+
+def y_points(spark, sf) -> DataFrame:
+    return y_of(spark, sf).select("id", F.array("y1", "y2").alias("x"))
+
+
+def part_points(spark, sf, scaled: bool) -> DataFrame:
+    """A thousand distinct (size, price) points, the first by key."""
+    p = table(spark, sf, "part").groupBy("p_size", "p_retailprice").agg(F.min("p_partkey").alias("id")).orderBy("id").limit(1000)
+    x = F.array(F.col("p_size").cast("double"), F.col("p_retailprice"))
+    if scaled:
+        top = p.agg(F.greatest(F.max("p_size").cast("double"), F.max("p_retailprice")).alias("m"))
+        return p.join(F.broadcast(top)).select("id", F.array(F.col("p_size") / F.col("m"), F.col("p_retailprice") / F.col("m")).alias("x"))
+    return p.select("id", x.alias("x"))
+
+
+def r6(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: rounded(n, digits) for n in names})
+
+
+def pair_sqdist(spark, sf):
+    return r6(pairs.pair_sqdist(x_of(spark, sf)), "sqdist")
+
+
+def nn_quantile(spark, sf):
+    return r6(pairs.nn_quantile(x_of(spark, sf), 91).withColumnRenamed("id", "vec_id"), "lq")
+
+
+def knn_rank(spark, sf):
+    return pairs.nearest(x_of(spark, sf), 10).select("i", "j", "rank")
+
+
+def neighbour_bound(spark, sf):
+    return r6(pairs.within_bound(x_of(spark, sf), 91, 90), "sqdist")
+
+
+def _sparse(spark, sf) -> DataFrame:
+    """The five entries of greatest absolute value, keys from 1."""
+    listed = F.transform("x", lambda v, i: F.struct((-F.abs(v)).alias("a"), (i + 1).alias("k"), v.alias("v")))
+    top = F.slice(F.array_sort(listed), 1, 5)
+    return x_of(spark, sf).select("id", F.map_from_entries(F.transform(top, lambda s: F.struct(s["k"], s["v"]))).alias("x"))
+
+
+def sparse_sqdist(spark, sf):
+    return r6(pairs.sparse_sqdist(_sparse(spark, sf)), "sqdist")
+
+
+def distance_source(spark, sf):
+    d = pairs.pair_sqdist(y_points(spark, sf)).select("i", "j", F.sqrt("sqdist").alias("d"))
+    return r6(sources.from_distances(d), "sqdist", digits=4)
+
+
+def center_scale(spark, sf):
+    return r6(pairs.center_scale(x_of(spark, sf)).select(F.col("id").alias("vec_id"), "dim", "v"), "v")
+
+
+def label_factor(spark, sf):
+    return pairs.label_factor(table(spark, sf, "customer"), "c_custkey", "c_mktsegment")
+
+
+def label_factor_brand(spark, sf):
+    return pairs.label_factor(table(spark, sf, "part"), "p_partkey", "p_brand")
+
+
+def source_shape(spark, sf):
+    return x_of(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).cast("bigint").alias("m"))
+
+
+def whiten_zscore(spark, sf):
+    long = sources.long_form(preprocess.whiten(x_of(spark, sf), 2))
+    return r6(long.withColumnRenamed("id", "vec_id"), "v")
+
+
+def whiten_centre(spark, sf):
+    return r6(sources.long_form(preprocess.whiten(x_of(spark, sf), 1)).withColumnRenamed("id", "vec_id"), "v")
+
+
+def column_prune(spark, sf):
+    return r6(sources.long_form(preprocess.whiten(x_of(spark, sf), 0, 3)).withColumnRenamed("id", "vec_id"), "v")
+
+
+def pca_variances(spark, sf):
+    """Variances of the principal components, which do not hang on signs."""
+    long = sources.long_form(preprocess.whiten(x_of(spark, sf), 3, 5))
+    return r6(long.groupBy("dim").agg(F.var_samp("v").alias("var")), "var")
+
+
+def pca_whitened(spark, sf):
+    long = sources.long_form(preprocess.whiten(x_of(spark, sf), 4, 5))
+    return r6(long.groupBy("dim").agg(F.var_samp("v").alias("var")), "var")
+
+
+def entropy_at_beta(spark, sf):
+    return r6(calibration.entropy_at(x_of(spark, sf), 91, 1.0).withColumnRenamed("id", "vec_id"), "z", "h")
+
+
+def beta_calibration(spark, sf):
+    b = calibration.calibrate(x_of(spark, sf), PPX)
+    return r6(b.select(F.col("id").alias("vec_id"), "beta", "znorm", "lq"), "beta", "znorm", "lq")
+
+
+def beta_calibration_feat(spark, sf):
+    return r6(calibration.calibrate(part_points(spark, sf, True), PPX).select("id", "beta", "lq"), "beta", "lq", digits=4)
+
+
+def beta_calibration_raw(spark, sf):
+    return r6(calibration.calibrate(part_points(spark, sf, False), PPX).select("id", "beta", "lq"), "beta", "lq")
+
+
+def beta_many_perplexities(spark, sf):
+    return r6(calibration.calibrate(x_of(spark, sf), [5, 10, 30]).select(F.col("id").alias("vec_id"), "ppx", "beta"), "beta")
+
+
+def embed_scheme(spark, sf):
+    n = table(spark, sf, "embeddings").count()
+    s = layout.scheme(n)
+    return spark.createDataFrame([(n, s["z"], layout.nn_size(n, PPX), s["epochs"], s["iters"])], "n bigint, z double, nn int, epochs int, iters int")
+
+
+def chunk_assignment(spark, sf):
+    return layout.chunk_assignment(x_of(spark, sf), 4, 2, 7, 1)
+
+
+def layout_start(spark, sf):
+    return r6(layout.initial(x_of(spark, sf), 2, 7), "y1", "y2")
+
+
+def _chunk(spark, sf):
+    """Sixty points as one chunk: ids, places, picked partners, affinities."""
+    import numpy as np
+
+    first = F.col("id") < 60
+    rows = x_of(spark, sf).where(first).join(y_of(spark, sf).select("id", "y1", "y2"), "id").orderBy("id").collect()
+    x = np.array([r["x"] for r in rows])
+    sq = pairs.sqdist(x, x)
+    pick, p = kernels.affinities(sq, np.full(len(x), 2.0), np.full(len(x), 3.0), 20)
+    return [r["id"] for r in rows], np.array([[r["y1"], r["y2"]] for r in rows]) / 10, pick, p
+
+
+def local_affinity(spark, sf):
+    ids, _, pick, p = _chunk(spark, sf)
+    rows = [(ids[i], ids[int(j)], float(v)) for i in range(len(ids)) for j, v in zip(pick[i], p[i])]
+    return r6(spark.createDataFrame(rows, "i bigint, j bigint, p double"), "p", digits=9)
+
+
+def tsne_one_step(spark, sf):
+    ids, y, pick, p = _chunk(spark, sf)
+    g = kernels.gradient(y, pick, p)
+    return r6(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, g)], "id bigint, dy1 double, dy2 double"), "dy1", "dy2", digits=9)
+
+
+def tsne_cost(spark, sf):
+    _, y, pick, p = _chunk(spark, sf)
+    return r6(spark.createDataFrame([(kernels.cost(y, pick, p),)], "cost double"), "cost")
+
+
+def global_affinity(spark, sf):
+    b = x_of(spark, sf).select("id", F.lit(2.0).alias("beta"), F.lit(3.0).alias("znorm"))
+    return r6(layout.global_affinities(x_of(spark, sf), b, PPX), "p", digits=9)
+
+
+def embedding_size(spark, sf):
+    return r6(landscape.embedding_size(y_of(spark, sf)), "size")
+
+
+def layer_average(spark, sf):
+    y = y_of(spark, sf)
+    two = y.select("id", F.lit(1).alias("layer"), "y1", "y2").unionByName(y.select("id", F.lit(2).alias("layer"), F.col("y2").alias("y1"), F.col("y1").alias("y2")))
+    return r6(layout.layer_average(two), "y1", "y2")
+
+
+def grid_frame(spark, sf):
+    return r6(landscape.grid_frame(y_of(spark, sf), G), "min", "max", "range", "factor", "diag")
+
+
+def raster_bounds(spark, sf):
+    f = landscape.raster_frame(y_of(spark, sf), G)
+    return r6(spark.createDataFrame([tuple(float(f[k]) for k in ("x0", "x1", "y0", "y1", "d"))], "x0 double, x1 double, y0 double, y1 double, d double"), "x0", "x1", "y0", "y1", "d")
+
+
+def point_cell(spark, sf):
+    return landscape.point_cells(y_of(spark, sf), G).withColumnRenamed("id", "vec_id")
+
+
+def cell_neighbours8(spark, sf):
+    return landscape.neighbours(landscape.cells(spark, 10), 10)
+
+
+def cell_neighbours4(spark, sf):
+    return landscape.neighbours(landscape.cells(spark, 10), 10, cross=True)
+
+
+def raster_of(spark, sf) -> DataFrame:
+    return landscape.density(y_of(spark, sf), G)
+
+
+def pakde_raster(spark, sf):
+    return raster_of(spark, sf).select("cell", (F.round(F.col("z") * 1e6, 4) + 0.0).alias("z"))
+
+
+def density_mass(spark, sf):
+    return r6(raster_of(spark, sf).agg(F.sum("z").alias("total")), "total")
+
+
+def density_peaks(spark, sf):
+    return landscape.peaks(raster_of(spark, sf), G).select("cell", (F.round(F.col("z") * 1e6, 4) + 0.0).alias("z"))
+
+
+def _map(spark, sf):
+    raster = checkpointed(raster_of(spark, sf))
+    return raster, checkpointed(landscape.watershed(raster, G))
+
+
+def watershed_cells(spark, sf):
+    return _map(spark, sf)[1].select("cell", "cluster")
+
+
+def cluster_peaks(spark, sf):
+    raster, c = _map(spark, sf)
+    return landscape.peak_table(c, raster).select("cluster", "peak_cell")
+
+
+def point_clusters(spark, sf):
+    c = _map(spark, sf)[1]
+    return landscape.point_clusters(y_of(spark, sf), c, G).withColumnRenamed("id", "vec_id")
+
+
+def cluster_borders(spark, sf):
+    return landscape.borders(_map(spark, sf)[1], G).select("cell", "nb")
+
+
+def _clustered(spark, sf):
+    raster, c = _map(spark, sf)
+    return raster, c, landscape.point_clusters(y_of(spark, sf), c, G)
+
+
+def cluster_moments(spark, sf):
+    _, _, labels = _clustered(spark, sf)
+    return r6(merging.moments(x_of(spark, sf), labels), "mean", "var")
+
+
+def cluster_fathers(spark, sf):
+    raster, c = _map(spark, sf)
+    return merging.fathers(raster, c, G)
+
+
+def s2nr_value(spark, sf):
+    _, _, labels = _clustered(spark, sf)
+    return r6(merging.s2nr_of(merging.moments(x_of(spark, sf), labels)), "s2nr")
+
+
+def _merge(spark, sf, k: int):
+    raster, c, labels = _clustered(spark, sf)
+    return merging.merge(merging.moments(x_of(spark, sf), labels), merging.fathers(raster, c, G), merging.border_heights(raster, c, G), k)
+
+
+def s2nr_merge(spark, sf):
+    m = _merge(spark, sf, 5)
+    return spark.createDataFrame(m.steps, "step int, child int, father int, s2nr double, level int")
+
+
+def s2nr_optk(spark, sf):
+    m = _merge(spark, sf, 2)
+    return spark.createDataFrame([(k,) for k in merging.best_counts(m.steps)], "k int")
+
+
+def class_raster(spark, sf) -> DataFrame:
+    return landscape.density(y_of(spark, sf), G, classes="label")
+
+
+def class_density(spark, sf):
+    return class_raster(spark, sf).select("cell", "class", (F.round(F.col("p") * 1e6, 4) + 0.0).alias("p"))
+
+
+def class_conditional(spark, sf):
+    return landscape.class_conditional(class_raster(spark, sf)).select("cell", "class", (F.round(F.col("p") * 1e6, 3) + 0.0).alias("p"))
+
+
+def hard_class_map(spark, sf):
+    return landscape.hard_map(class_raster(spark, sf)).fillna(-1, ["class"])
+
+
+def quantile_levels(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return covariates.quantile_levels(d, "key", "l_extendedprice")
+
+
+def quantile_levels_size(spark, sf):
+    return covariates.quantile_levels(table(spark, sf, "part").withColumnRenamed("p_partkey", "key"), "key", "p_size")
+
+
+def quantile_levels_few(spark, sf):
+    return covariates.quantile_levels(table(spark, sf, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber")), "key", "l_linenumber")
+
+
+def quantile_levels_events(spark, sf):
+    return covariates.quantile_levels(table(spark, sf, "events").withColumnRenamed("event_id", "key"), "key", "value")
+
+
+def precision_levels(spark, sf):
+    b = calibration.calibrate(x_of(spark, sf), PPX).select(F.col("id").alias("vec_id"), F.round("beta", 9).alias("beta"))
+    return covariates.quantile_levels(b, "vec_id", "beta")
+
+
+def box_stats(spark, sf):
+    return r6(covariates.box_stats(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp"), "c_acctbal"), "grp", "c_acctbal"), "lo", "q1", "med", "q3", "hi")
+
+
+def box_stats_clusters(spark, sf):
+    _, _, labels = _clustered(spark, sf)
+    return r6(covariates.box_stats_by(preprocess.whiten(x_of(spark, sf), 0, 4), labels), "lo", "q1", "med", "q3", "hi")
+
+
+def knp_curve(spark, sf):
+    return r6(quality.knp(x_of(spark, sf), y_points(spark, sf)), "q", "r")
+
+
+def knp_auc(spark, sf):
+    return r6(quality.knp_auc(quality.knp(x_of(spark, sf), y_points(spark, sf))), "lin_auc", "log_auc")
+
+
+def hl_correlation(spark, sf):
+    r = quality.hl_correlation(x_of(spark, sf), y_points(spark, sf))
+    return r6(r.agg(F.avg("r").alias("mean_r")), "mean_r")
+
+
+def _betas(spark, sf):
+    return checkpointed(calibration.calibrate(x_of(spark, sf), PPX))
+
+
+def ptsne_map(spark, sf):
+    return layout.ptsne(x_of(spark, sf), _betas(spark, sf), PPX, epochs=4, seed=3).y
+
+
+def ptsne_restart(spark, sf):
+    x, b = x_of(spark, sf), _betas(spark, sf)
+    return layout.restart(x, b, PPX, layout.ptsne(x, b, PPX, epochs=2, seed=3), 2, seed=3).y
+
+
+def mtsne_map(spark, sf):
+    return layout.mtsne(x_of(spark, sf), _betas(spark, sf), PPX, iters=20, theta=0.0, seed=3).y
+
+
+def full_pipeline(spark, sf):
+    """Clusters of the deterministic layout: points, and the density at the peak."""
+    raster, c, labels = _clustered(spark, sf)
+    p = landscape.peak_table(c, raster)
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return p.join(sizes, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"), (F.round(F.col("z") * 1e6, 4) + 0.0).alias("peak_z"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        full_pipeline, pair_sqdist, nn_quantile, knn_rank, neighbour_bound, sparse_sqdist, distance_source, center_scale, label_factor, label_factor_brand, source_shape,
+        whiten_centre, whiten_zscore, column_prune, pca_variances, pca_whitened, entropy_at_beta, beta_calibration, beta_calibration_feat, beta_calibration_raw,
+        beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
+        raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
+        cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
+        quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
+    )
+}
+ORACLES: dict[str, str] = sql.ORACLES

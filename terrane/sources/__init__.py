@@ -1 +1,77 @@
-"""sources"""
+"""Inputs: points as ``(id, x array<double>)``, pair distances as ``(i, j, d)``, sparse points as ``(id, x map<int,double>)``."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def dense(df: DataFrame, id_col: str, columns: list[str] | None = None, vector: str | None = None) -> DataFrame:
+    """Points from numeric columns, or from one array column."""
+    x = F.col(vector).cast("array<double>") if vector else F.array(*[F.col(c).cast("double") for c in columns])
+    return df.select(F.col(id_col).cast("bigint").alias("id"), x.alias("x"))
+
+
+def from_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Points of a CSV file with a header and numeric columns; ids follow the order of the file's rows."""
+    df = spark.read.csv(path, header=True, inferSchema=True)
+    x = F.array(*[F.col(c).cast("double") for c in columns or df.columns])
+    return df.select(F.monotonically_increasing_id().alias("id"), x.alias("x"))
+
+
+def from_distances(df: DataFrame, i: str = "i", j: str = "j", d: str = "d") -> DataFrame:
+    """(i, j, sqdist) of a table of distances, which are squared on reading."""
+    return df.select(F.col(i).alias("i"), F.col(j).alias("j"), (F.col(d).cast("double") * F.col(d).cast("double")).alias("sqdist"))
+
+
+def from_distance_rows(df: DataFrame, id_col: str, row: str) -> DataFrame:
+    """(i, j, sqdist) of a matrix stored as one array a row; ``j`` counts from 0."""
+    long = df.select(F.col(id_col).alias("i"), F.posexplode(row).alias("j", "d"))
+    return from_distances(long.withColumn("j", F.col("j").cast("bigint")))
+
+
+def sparse(df: DataFrame, id_col: str, packed: str) -> DataFrame:
+    """Sparse points of packed rows k1, v1, k2, v2, ...: keys are positive, and a key of 0 ends the row."""
+    n = (F.size(packed) / 2).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(packed, 2 * i).cast("int"))
+    ends = F.array_position(F.transform(keys, lambda k: (k <= 0).cast("int")), 1)
+    used = F.when(ends > 0, ends.cast("int") - 1).otherwise(n)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(used - 1, F.lit(0))), lambda i: F.struct(F.get(packed, 2 * i).cast("int"), F.get(packed, 2 * i + 1).cast("double")))
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.when((n > 0) & (used > 0), F.map_from_entries(pairs)).otherwise(empty).alias("x"))
+
+
+def long_form(points: DataFrame) -> DataFrame:
+    """(id, dim, v), ``dim`` from 0."""
+    return points.select("id", F.posexplode("x").alias("dim", "v"))
+
+
+def shape(points: DataFrame) -> tuple[int, int]:
+    """Points and features."""
+    r = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("m")).first()
+    return r["n"], r["m"] or 0
+
+
+def duplicated(points: DataFrame) -> DataFrame:
+    """Points whose vector occurs more than once, which the mapping methods do not allow."""
+    return points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1").select("id", "n")
+
+
+def example(spark: SparkSession, n: int = 5000, dims: int = 4, components: int = 16, seed: int = 1) -> DataFrame:
+    """A seeded Gaussian mixture: id, x, label. Centres have a deviation of 10, components one of 0.5 to 2."""
+    rng = np.random.default_rng(seed)
+    centres, spread = rng.normal(0, 10, (components, dims)), rng.uniform(0.5, 2, components)
+    label = rng.integers(0, components, n)
+    x = centres[label] + rng.normal(size=(n, dims)) * spread[label, None]
+    return spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(n)], "id bigint, x array<double>, label int")
+
+
+def save(parts: dict[str, DataFrame], path: str) -> None:
+    """Each part as Parquet below ``path``."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
