@@ -147,7 +147,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
 
     Texts are candidates if their word fingerprints differ in at most ``radius`` bits (covering masks, so no such
     pair is missed) and are linked if their word shingles have the Jaccard similarity asked for. Equal texts are one
-    node. A node goes by the first 64 bits of its key; should two texts share those, the second is left alone.
+    node, and texts without words, null or not, are alike. A node goes by the first 64 bits of its key; should two texts share those, the second is left alone.
     """
     scratch = Scratch(spark, "similar")
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))

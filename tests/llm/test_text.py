@@ -1,0 +1,310 @@
+"""The text operators against brute force, and their edge cases."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrane.llm import decontaminate, extraction, lines, mixing, quality, sharding, simhash, substrings, tokencount, toxicity
+from terrane.llm.common import Scratch, components, running_sum
+from terrane.llm.dom import match, parse
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    out = [prose(rng, rng.randrange(5, 160)) for _ in range(50)]
+    shared = prose(rng, 60)
+    out += [f"{prose(rng, 20)} {shared} {prose(rng, 15)}" for _ in range(6)] + [out[3]] * 4
+    out += [None, "", " \t\n", "a", "A" * 5000, prose(rng, 9000, 50), out[7].replace("w", "W", 3), "é ñ x " * 30]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i if i != 5 else None, t, f"s{i % 4}" if i % 11 else None, i, "x") for i, t in enumerate(texts)]
+    rows += [rows[10], rows[10]]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size long, k1 string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("1 = 0")
+
+
+def key(r):
+    return (r["doc_id"] is None, r["doc_id"])
+
+
+def test_running_sum(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id", F.lit(2).alias("v"))
+    got = [r["s"] for r in running_sum(Scratch(spark, "t"), df, ["a", "id"], "v", "s").orderBy("a", "id").collect()]
+    assert got == list(range(2, 2002, 2))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(1, 50)]
+    up = {n: n for e in edges for n in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r["node"]: r["root"] for r in components(Scratch(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: root(n) for a, b in edges for n in (a, b) if a != b}
+
+
+def test_mixing(spark, docs, empty):
+    scratch = Scratch(spark, "t")
+    sizes = scratch.write(mixing.sizes_of(docs))
+    rows = mixing.apply_plan(sizes, mixing.mixing_plan(scratch, sizes)).collect()
+    assert len(rows) == docs.count() and all(0 <= r["copies"] <= 2 for r in rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
+        taken, biggest = sum(r["size"] * r["copies"] for r in own), max(r["size"] for r in own)
+        assert abs(taken - own[0]["target"]) <= 1.5 * biggest
+    total = sum(r["size"] for r in rows)
+    assert sum(own[0]["target"] for own in by.values()) == pytest.approx(1.5 * total)
+    assert mixing.apply_plan(mixing.sizes_of(empty), mixing.mixing_plan(scratch, mixing.sizes_of(empty))).count() == 0
+
+
+def brute_hits(text, items):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    w, hit, names = split(text), set(), set()
+    for i, t in items:
+        b = split(t)
+        n = min(10, len(b))
+        for s in range(len(b) - n + 1 if n else 0):
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == b[s : s + n]:
+                    hit |= set(range(p, p + n))
+                    names.add(str(i))
+    return len(w), len(hit), sorted(names)
+
+
+def test_decontamination(spark, tmp_path):
+    rng = random.Random(2)
+    items = [(i, prose(rng, 25)) for i in range(6)] + [(6, "w1 w2"), (7, "solo"), (8, None), (9, "--"), (10, "w3 w3 w3 w3 w3 w3 w3 w3 w3 w3 w3"), (11, "w1-W2")]
+    texts = [prose(rng, 50) for _ in range(8)] + [prose(rng, 5) + " " + items[2][1].upper() + " " + prose(rng, 9), " ".join(items[3][1].split()[4:15]), "w3 " * 14, "Solo! w1, w2", None, "", " ".join(items[4][1].split()[:9])]
+    spark.createDataFrame(list(enumerate(texts)) + [(9, texts[9]), (None, "solo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.op4_decontamination(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        n, hit, names = brute_hits("solo" if r["doc_id"] is None else texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(names), hit > 0)
+        assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.hits(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none).count() == 0
+
+
+@pytest.mark.parametrize("bloom", [substrings.BLOOM_KEYS, 0])
+def test_substrings(spark, docs, empty, bloom):
+    rows = docs.select("doc_id", "text").collect()
+    words = [(r["text"] or "").encode().split() for r in rows]
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = []
+    for r, w in zip(rows, words):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        left = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((str(r["doc_id"]), len(w), len(gone), hashlib.sha256(left).hexdigest()))
+    got = substrings.dedup_substrings(spark, docs, ["doc_id"], batches=2, bloom_keys=bloom).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert sum(w[2] for w in want) > 300
+    if bloom:
+        assert substrings.dedup_substrings(spark, empty, ["doc_id"]).count() == 0
+
+
+def test_index_looks_up_and_compacts(spark, docs):
+    index = substrings.FingerprintIndex(Scratch(spark, "t"), fanout=2)
+    one = docs.select("text").where("text is not null")
+    index.add(one)
+    index.add(one)
+    assert len(index.runs) == 1 and index.seen(one).where("before < 2 * n").count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(w)
+    s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    fps = [brute_fingerprint(r["text"]) for r in rows]
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 2 and group[a] != group[b]:
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    least = {g: min((r["doc_id"] for r, x in zip(rows, group) if x == g and r["doc_id"] is not None), default=None) for g in set(group)}
+    want = sorted((str(r["doc_id"]), f"{f:016x}", str(least[g])) for r, f, g in zip(rows, fps, group))
+    got = simhash.near_duplicates(spark, docs, ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), "component_id").collect()
+    assert sorted((str(r["doc_id"]), r["f"], str(r["component_id"])) for r in got) == want
+
+
+@pytest.mark.parametrize("bucket", [1, 64])
+def test_links_find_all_pairs_within_two_bits(spark, bucket):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(12)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    scratch = Scratch(spark, "t")
+    got = {r["node"]: r["root"] for r in components(scratch, simhash.links(scratch, spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)).collect()}
+    group = list(range(len(fps)))
+    for a, b in itertools.combinations(range(len(fps)), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 2:
+            group = [group[a] if g == group[b] else g for g in group]
+    for g in set(group):
+        own = [signed[i] for i in range(len(fps)) if group[i] == g]
+        assert {got.get(x, x) for x in own} == {min(own)}
+
+
+@pytest.mark.parametrize("radius", range(1, 7))
+def test_masks_cover(radius):
+    rng = random.Random(radius)
+    ms = [m & (1 << 64) - 1 for m in simhash.masks(radius)]
+    assert len(ms) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in ms) >= 32
+    for _ in range(500):
+        x = sum(1 << i for i in rng.sample(range(64), radius))
+        assert any(not m & x for m in ms)
+
+
+def test_one_of_each(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, 200), prose(rng, 150)
+    near = a.split()
+    near[100] = "changed"
+    rows = [(4, a, 1), (2, " ".join(near), 2), (9, a, 3), (5, b, 4), (5, b, 4), (7, None, 5), (8, None, 6), (None, "", 7), (11, prose(rng, 90), 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key0 int")
+    got = sorted((str(r["doc_id"]), r["key0"]) for r in simhash.one_of_each(spark, docs).collect())
+    assert got == [("11", 8), ("2", 2), ("5", 4), ("7", 5)]  # texts without words are alike
+    assert simhash.one_of_each(spark, docs).columns == docs.columns
+
+
+def test_token_counts(spark, docs):
+    rng = random.Random(6)
+    for _ in range(150):
+        pieces = list({bytes(rng.choice(b"ab ") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(2, 12))})
+        auto, known = tokencount.Automaton(pieces), set(pieces)
+        for _ in range(20):
+            w, n, i = bytes(rng.choice(b"ab ") for _ in range(rng.randint(0, 12))), 0, 0
+            while i < len(w):
+                k = next((k for k in range(5, 0, -1) if w[i : i + k] in known and i + k <= len(w)), 0)
+                if not k:
+                    n = 1
+                    break
+                n, i = n + 1, i + k
+            assert auto.count(w) == n
+    got = {r["doc_id"]: r for r in tokencount.token_counts(spark, docs, ["doc_id"]).collect()}
+    assert len(got) and all(r["n_tokens"] >= r["n_words"] for r in got.values()) and got[60]["n_tokens"] == 0
+
+
+def test_quality(spark, docs, empty):
+    for r in quality.clean_lines(docs).collect():
+        w = WORD.findall(r["text"] or "")
+        grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(again))
+    rows = [(1, "Home | About | News | Contact | Help\n" + "A good sentence of plain words, long enough to keep. " * 3), (2, "BUY NOW!! CHEAP!! BEST PRICE EVER!! " * 4 + "x y z"), (3, "Licensed under the MIT License.\nThis text has enough words in it to be kept after all is said.")]
+    got = {r["doc_id"]: r for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[1]["kept_lines"]) == 1 and got[3]["kept"] and len(got[3]["kept_lines"]) == 1 and not got[2]["kept"]
+    assert quality.clean_lines(empty.select("doc_id", "text")).count() == 0
+
+
+def test_sharding(spark, docs, empty):
+    rows = sharding.shard(spark, docs, shards=5).collect()
+    assert len(rows) == docs.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert set(by) <= set(range(5)) and all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard(spark, empty, shards=5).count() == 0
+    many = spark.createDataFrame([(i, f"text {i % 7}" if i % 3 == 0 else f"own {i}" * 5) for i in range(900)], "doc_id long, text string")
+    rows = sharding.shard(spark, many, shards=6).collect()
+    bytes_ = collections.Counter()
+    for r in rows:
+        bytes_[r["shard"]] += r["size"]
+    assert max(bytes_.values()) - min(bytes_.values()) < 0.1 * max(bytes_.values())
+    cut = collections.defaultdict(set)
+    for r in rows:
+        if r["doc_id"] % 3 == 0:
+            cut[r["text_crc32"]].add(r["shard"])
+    assert sum(len(s) - 1 for s in cut.values()) <= 6
+
+
+def test_lines(spark):
+    rng = random.Random(8)
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all one to a normalised line
+    a, b = (prose(rng, 30, 10**6).translate(letters) for _ in range(2))
+    near = a.split()
+    near[-1] = near[-1] + "x"
+    rows = [(1, f"{a}\n{b}\nok"), (2, " ".join(near) + "\nok"), (3, f"{b.upper()}\nfresh words in a line\n"), (3, f"{b}"), (None, a), (5, None), (6, ""), (7, "x" * 3000)]
+    got = {(r["doc_id"], r["n_lines"]): r for r in lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 3]["n_removed"] == 0 and got[3, 1]["text"] == "" and got[3, 2]["text"].startswith("fresh")
+    assert got[None, 1]["n_removed"] == 1 and got[5, 0]["text"] is None and got[6, 0]["text"] == ""
+    assert got[2, 2]["text"] == "ok"
+
+
+def test_crowded_lines_all_meet(spark):
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(words) + f"{'z' * (i % 7)}{i:03d}") for i in range(60)]
+    rows = [(i, t.translate(str.maketrans("0123456789", "abcdefghij", ""))) for i, t in rows]
+    out = lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), bucket=4).collect()
+    alone = lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), bucket=1000).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == sorted((r["doc_id"], r["n_removed"]) for r in alone)
+
+
+def test_toxicity(spark, tmp_path):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        t = prose(rng, 40) + (f" zorbak{rng.choice('abc')} zorbi{rng.choice('abc')} you idiot" if bad else "") + " " + prose(rng, 10)
+        docs.append((i, t))
+        labels.append((i, int(bad)))
+    docs += [(None, None), (401, ""), (7, docs[7][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels + [(402, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
+    assert sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    d = spark.createDataFrame([(1, "you are an idiot"), (2, "fine words")], "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in toxicity.score(spark, d, toxicity.fit(spark, d, none), ["doc_id"]).collect()}
+    assert s[1] > 0.5 > s[2]
+
+
+def test_tree_matching():
+    a, b = parse("<div><p>x</p><p>y</p><ul><li>1</ul></div>"), parse("<div><p>x</p><b>q</b><p>z</p></div>")
+    assert sorted(x.tag for x, _ in match(a, b)) == ["#", "div", "p", "p"]
+
+
+def test_extraction(spark):
+    page = "<html><head><title>t</title><style>p{}</style><script>var a='</p>';</script></head><body><div class='menu'><a>Home</a></div><header><a>logo</a></header><div id=main><h1>{0} &amp; co</h1><p>One {0}\n two<br>three<p><b>Four {0}</div><aside>side {0}</aside><div class='comments'><p>first {0}!</p></div><form>f</form><footer>foot</footer></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.replace("{0}", f"alpha{i}")) for i in range(5)] + [(9, "http://solo.example/", "<article><p>Only.</article>"), (10, None, None), (11, "x", "")]
+    got = {r["page_id"]: r["text"] for r in extraction.extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    assert got[0] == "alpha0 & co\nOne alpha0 two three\nFour alpha0" and got[9] == "Only." and got[10] == "" and got[11] == ""
