@@ -260,7 +260,7 @@ def test_lines(spark):
     letters = str.maketrans("0123456789", "abcdefghij")  # digits are all one to a normalised line
     a, b = (prose(rng, 30, 10**6).translate(letters) for _ in range(2))
     near = a.split()
-    near[-1] = near[-1] + "x"
+    near.append(near[-1])  # the same words, one of them twice
     rows = [(1, f"{a}\n{b}\nok"), (2, " ".join(near) + "\nok"), (3, f"{b.upper()}\nfresh words in a line\n"), (3, f"{b}"), (None, a), (5, None), (6, ""), (7, "x" * 3000)]
     got = {(r["doc_id"], r["n_lines"]): r for r in lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1, 3]["n_removed"] == 0 and got[3, 1]["text"] == "" and got[3, 2]["text"].startswith("fresh")
