@@ -25,7 +25,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
             import tempfile
 
             root = tempfile.mkdtemp(prefix="checkpoint-")
-            spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
 
