@@ -1 +1 @@
-"""plans"""
+"""The catalogue of queries, and their SQL."""

@@ -1 +1 @@
-"""streaming"""
+"""Nothing of this engine is a stream: epochs are an iterative batch loop. Kept for operators to come."""

@@ -45,7 +45,8 @@ def test_pooled_and_ratio():
     for compat, var, value in ((False, 3.74, 9.641463633912), (True, -2.14, -32.761041730125)):
         t, mean, pv = pooled(n[:2], m[:2], v[:2], compat)
         assert (t, mean[0]) == (5, pytest.approx(2.4)) and pv[0] == pytest.approx(var)
-        nn, mm, vv = np.array([0.0, 5, 2]), np.array([[1.0], mean, [11]]), np.array([[0.0], pv, [2]])
+        # The second cluster is the child: it is empty, its mean stays behind.
+        nn, mm, vv = np.array([5.0, 0, 2]), np.array([mean, [4.5], [11]]), np.array([pv, [0.0], [2]])
         assert ratio(nn, mm, vv, compat) == pytest.approx(value)
 
 

@@ -75,3 +75,20 @@ def test_mixture_is_recovered_end_to_end(spark):
     assert mean[max(mean)] < mean[0] and out.y.count() == 600
     y = layout.layer_average(out.y)
     assert y.count() == 300
+
+
+def test_mapping_steps(spark):
+    from terrane.mapping import Mapping
+
+    pts = sources.example(spark, 200, components=3, seed=5)
+    y = pts.select("id", F.lit(1).alias("layer"), (F.col("x")[0] * 3).alias("y1"), (F.col("x")[1] * 3).alias("y2"))
+    m = Mapping.start(pts.select("id", "x"), 15, pts.select("id", "label")).place(y).density(15, g=30).cluster()
+    n = m.clusters.select("cluster").distinct().count()
+    assert m.point_labels().count() == 200 and n >= 3
+    merged = m.merge(2)
+    assert len(set(merged.merged.labels.values())) == len(merged.merged.labels) - len(merged.merged.steps)
+    assert merged.point_labels(True).select("cluster").distinct().count() <= len(set(merged.merged.labels.values()))
+    assert m.class_density(pts.select("id", "label")).agg(F.sum("p")).first()[0] == pytest.approx(m.raster.agg(F.sum("z")).first()[0])
+    assert m.scatter().columns == ["id", "y1", "y2", "class"] and m.precision_map(4).count() == 200
+    with pytest.raises(ValueError):
+        Mapping.start(pts.select(F.lit(1).alias("id"), "x").unionByName(pts.select(F.lit(2).alias("id"), "x")), 15)
