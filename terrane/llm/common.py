@@ -146,11 +146,12 @@ def without(docs: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
     return left.join(right, same, "left_anti").drop(*names)
 
 
-def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close, verify, bucket: int, key: list[str]) -> DataFrame:
+def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close: Column, texts, verify, bucket: int, key: list[str]) -> DataFrame:
     """(u, v) links between the ``id`` of ``keyed(*key, id, *attrs)`` that share a key, whose components are those of all links.
 
-    ``close(prefix)`` is a cheap condition between a row's ``attrs`` and those named with ``o_``; ``verify`` takes
-    pairs (u, v) to those that are links. Buckets of up to ``bucket`` members compare all pairs. In a fuller one the
+    ``close`` is a cheap condition between a row's ``attrs`` and those named with ``o_``. ``texts(ids)`` gives what the
+    comparison needs of some ids, and ``verify(pairs, texts)`` takes pairs (u, v) to those that are links; the corpus
+    is read once for the small buckets and once for the crowded ones, not in every round. Buckets of up to ``bucket`` members compare all pairs. In a fuller one the
     least open member is compared with all; those it links to are closed, as they are connected to it; this repeats
     until at most ``bucket`` members are open, which are then compared with all. No bucket is cut short.
     """
@@ -166,20 +167,23 @@ def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close,
 
     differ = F.col("id") != F.col("o_id")
     few = met.where(F.col("n") <= bucket).drop("n")
-    found = scratch.write(verify(pairs(few, few, F.col("id") < F.col("o_id"))))
+    near = scratch.write(pairs(few, few, F.col("id") < F.col("o_id")))
+    wanted = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
+    found = scratch.write(verify(near, scratch.write(texts(scratch.write(wanted)))))
     is_open = crowd = met.where(F.col("n") > bucket).drop("n")
     if not crowd.limit(1).count():
         return found
     crowd = is_open = scratch.write(crowd)
+    have = scratch.write(texts(scratch.write(crowd.select("id").distinct())))
     while True:
         least = is_open.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.min(F.struct("id", *attrs)).alias("r")).where(F.col("open") > bucket)
         first = scratch.write(least.select(*key, "r.*"))
         if not first.limit(1).count():
             break
-        linked = scratch.write(verify(pairs(crowd, first, differ)))
+        linked = scratch.write(verify(pairs(crowd, first, differ), have))
         found = scratch.write(found.unionByName(linked))
         ends = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
         closed = first.select(*key, F.col("id").alias("u")).join(ends, "u").select(*key, F.col("v").alias("id"))
         closed = closed.unionByName(first.select(*key, "id")).distinct()
         is_open = scratch.write(is_open.join(closed, [*key, "id"], "left_anti"))
-    return scratch.write(found.unionByName(verify(pairs(crowd, is_open, differ))))
+    return scratch.write(found.unionByName(verify(pairs(crowd, is_open, differ), have)))

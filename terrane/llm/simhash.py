@@ -156,12 +156,12 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
     met = nodes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "m"))
     met = met.select(F.xxhash64("t", "m").alias("key"), "id", "fp")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.write(pairs)
-        wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        small = wanted.count() <= SMALL_ROWS
-        some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-        texts = scratch.write(some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.text"))
+    def texts(ids: DataFrame) -> DataFrame:
+        small = ids.count() <= SMALL_ROWS
+        some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        return some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.text")
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
         def run(batches):
@@ -172,7 +172,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
         return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= radius
-    links = verified_links(scratch, met, ["fp"], close, verify, bucket, ["key"])
+    links = verified_links(scratch, met, ["fp"], close, texts, verify, bucket, ["key"])
     roots = components(scratch, links).withColumnRenamed("node", "k1")
     own = nodes.select(F.col("id").alias("k1"), F.col("k2").alias("own"))
     rows = table.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(own, "k1").join(roots, "k1", "left")
