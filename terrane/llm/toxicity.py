@@ -13,9 +13,9 @@ posterior is then pulled towards the given label of a labelled row.
 
 Classifier. A logistic regression on the induced features (damped counts) and the voters is fitted to the posteriors.
 
-Documents are scored whole, in Arrow batches; statistics of features come from all labelled rows of the training
-folds, aggregated by Spark. The only bounded parts are the parameters below: the number of features, and the sample
-of training rows (those of least id hash, of either label) on which model and classifier are fitted.
+Documents are scored whole, in Arrow batches. What is fitted is fitted on a bounded sample of the labelled rows of
+the training folds, those of least id hash: up to ``LABELS`` rows of either label for the statistics of features, and
+up to ``SAMPLE`` of those for label model and classifier. The sampled labels are broadcast, so no text is shuffled.
 
 Cases: a null or blank text has no features and gets the score of such texts. Equal texts get equal scores. Ids that
 are null or repeated take part like any row; labels of a repeated id count once as the greatest. Without labels the
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FEATURES = 2_000
+LABELS = 10_000
 SAMPLE = 6_000
 LEXICONS = 12
 SHORTEST, LONGEST = 4, 7
@@ -112,7 +113,7 @@ def induce(training: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / b) - F.log(F.lit((n_toxic + 1) / (n_clean + 1)))
     bound = odds - 1.64 * F.sqrt(1 / a + 1 / b)
-    return [r["f"] for r in seen.where("a >= 3").withColumn("s", bound).where("s > 0.7").orderBy(F.desc("s"), "f").limit(most).collect()]
+    return [r["f"] for r in seen.where("a >= 3").withColumn("s", bound).where("s > 1.0").orderBy(F.desc("s"), "f").limit(most).collect()]
 
 
 def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, dict]:
@@ -147,15 +148,15 @@ def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndar
     return post, {"prior": float(post.mean()), "hit": rates[1][0], "false": rates[0][0], "correlation": corr, "weight": weight}
 
 
-def fit_linear(rows: list[np.ndarray], values: list[np.ndarray], dim: int, target: np.ndarray, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(rows: list[np.ndarray], values: list[np.ndarray], dim: int, target: np.ndarray, prior: float = 0.5, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by accelerated gradient steps."""
     n = len(rows)
     ri = np.repeat(np.arange(n), [len(r) for r in rows])
     ci = np.concatenate(rows) if ri.size else np.zeros(0, int)
     x = np.concatenate(values) if ri.size else np.zeros(0)
-    # Both classes weigh the same.
+    # The classes weigh as in the population, however they were sampled.
     mass = target.sum(), n - target.sum()
-    weight = target / max(mass[0], 1e-9) + (1 - target) / max(mass[1], 1e-9)
+    weight = prior * target / max(mass[0], 1e-9) + (1 - prior) * (1 - target) / max(mass[1], 1e-9)
     w, b, m, s = np.zeros(dim), 0.0, np.zeros(dim + 1), np.zeros(dim + 1)
     for t in range(1, steps + 1):
         z = np.bincount(ri, x * w[ci], n) + b
@@ -179,12 +180,17 @@ def _row(text: str, known: dict[str, int], lexicon: np.ndarray) -> tuple[np.ndar
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model, from ``labels(doc_id, toxic)`` outside the held-out fold."""
-    known_labels = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    training = docs.select("doc_id", "text").join(known_labels, "doc_id")
+    usable = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    order = F.xxhash64("doc_id")
+    some = usable.where("toxic > 0").orderBy(order, "doc_id").limit(LABELS).unionByName(usable.where("toxic <= 0").orderBy(order, "doc_id").limit(LABELS))
+    # At most 2 * LABELS rows: the texts of the corpus stay where they are.
+    training = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))), "doc_id")
     scratch = Scratch(spark, "toxicity")
     training = scratch.write(training)
-    counts = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
-    names = induce(training.select("text", "toxic"), counts.get(1, 0), counts.get(0, 0))
+    sampled = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
+    every = usable.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count()
+    counts = {r["toxic"]: r["count"] for r in every.collect()} if sampled else {}
+    names = induce(training.select("text", "toxic"), sampled.get(1, 0), sampled.get(0, 0))
     known = {f: j for j, f in enumerate(names)}
     lexicon = np.array([int.from_bytes(f.encode()[:3], "big") % LEXICONS for f in names], dtype=np.int64)
     order = F.xxhash64("doc_id", "text")
@@ -207,7 +213,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
         return {"known": known, "lexicon": lexicon, "w": w, "b": -2.0, "labels": {}}
     v, y = np.array([r["votes"] for r in got]), np.array([r["toxic"] for r in got])
     post, about = label_model(v, y)
-    w, b = fit_linear([np.array(r["cols"], dtype=np.int64) for r in got], [np.array(r["vals"]) for r in got], dim, post)
+    prior = max(0.05, counts.get(1, 0) / sum(counts.values()))
+    w, b = fit_linear([np.array(r["cols"], dtype=np.int64) for r in got], [np.array(r["vals"]) for r in got], dim, post, prior)
     return {"known": known, "lexicon": lexicon, "w": w, "b": b, "labels": about}
 
 
