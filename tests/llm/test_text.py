@@ -308,3 +308,27 @@ def test_extraction(spark):
     rows = [(i, f"http://h.example/{i}", page.replace("{0}", f"alpha{i}")) for i in range(5)] + [(9, "http://solo.example/", "<article><p>Only.</article>"), (10, None, None), (11, "x", "")]
     got = {r["page_id"]: r["text"] for r in extraction.extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
     assert got[0] == "alpha0 & co\nOne alpha0 two three\nFour alpha0" and got[9] == "Only." and got[10] == "" and got[11] == ""
+
+
+def test_near_equal_lines_are_found(spark):
+    """Pairs of a line and its copy with one word or one letter changed, against the edit similarity of all pairs."""
+    rng = random.Random(12)
+    made = {}
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+    for n in [4, 5, 6, 8, 12, 20, 40, 80] * 12:
+        ws = [word() for _ in range(n)]
+        at = rng.randrange(n)
+        other = list(ws)
+        other[at] = word() if rng.random() < 0.5 else ws[at][:1] + "ü" + ws[at][2:]
+        made |= {" ".join(ws): n, " ".join(other): n}
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    table = scratch.write(lines.line_table(docs))
+    ids = {r["id"]: r["doc_id"] for r in table.select("id", "doc_id").collect()}
+    got = {tuple(sorted((ids[r["u"]], ids[r["v"]]))) for r in lines.line_links(scratch, docs, table).collect()}
+    both = docs.toDF("i", "a").crossJoin(docs.toDF("j", "b")).where("i < j and levenshtein(a, b) <= 0.2 * greatest(length(a), length(b)) + 1e-9")
+    all_links = {(r["i"], r["j"]) for r in both.collect()}
+    assert len(all_links) > 80 and got <= all_links and len(got) >= 0.95 * len(all_links)
