@@ -152,8 +152,8 @@ def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close:
     ``close`` is a cheap condition between a row's ``attrs`` and those named with ``o_``. ``texts(ids)`` gives what the
     comparison needs of some ids, and ``verify(pairs, texts)`` takes pairs (u, v) to those that are links; the corpus
     is read once for the small buckets and once for the crowded ones, not in every round. Buckets of up to ``bucket`` members compare all pairs. In a fuller one the
-    least open member is compared with all; those it links to are closed, as they are connected to it; this repeats
-    until at most ``bucket`` members are open, which are then compared with all. No bucket is cut short.
+    least open member is compared with all; those it links to are closed, as they are connected to it; this repeats,
+    with twice as many least members each time, as members that met by chance close none, until at most ``bucket`` members are open, which are then compared with all. No bucket is cut short.
     """
     sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = scratch.write(keyed.join(sizes, key))
@@ -175,9 +175,12 @@ def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close:
         return found
     crowd = is_open = scratch.write(crowd)
     have = scratch.write(texts(scratch.write(crowd.select("id").distinct())))
+    take = 1
     while True:
-        least = is_open.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.min(F.struct("id", *attrs)).alias("r")).where(F.col("open") > bucket)
-        first = scratch.write(least.select(*key, "r.*"))
+        busy = is_open.groupBy(*key).agg(F.count(F.lit(1)).alias("open")).where(F.col("open") > bucket).drop("open")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+        first = scratch.write(is_open.join(busy, key, "left_semi").withColumn("rank", rank).where(F.col("rank") <= take).select(*key, "id", *attrs))
+        take *= 2
         if not first.limit(1).count():
             break
         linked = scratch.write(verify(pairs(crowd, first, differ), have))

@@ -332,3 +332,11 @@ def test_near_equal_lines_are_found(spark):
     both = docs.toDF("i", "a").crossJoin(docs.toDF("j", "b")).where("i < j and levenshtein(a, b) <= 0.2 * greatest(length(a), length(b)) + 1e-9")
     all_links = {(r["i"], r["j"]) for r in both.collect()}
     assert len(all_links) > 80 and got <= all_links and len(got) >= 0.95 * len(all_links)
+
+
+def test_short_lines_go_too(spark, tmp_path):
+    """The query compares lines of any number of words, also those of a script without spaces."""
+    rows = [(1, "Read more\nok\nこれは空白のない一つの長い行です\n 5"), (2, "read  more\nok\nfirst"), (3, "Read mores\nこれは空白のない一つの長い行だす\nfresh\n7"), (4, "ok")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op2_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (3, 2), 3: (4, 3), 4: (1, 1)}
