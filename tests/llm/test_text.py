@@ -340,3 +340,18 @@ def test_short_lines_go_too(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op2_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 0), 2: (3, 2), 3: (4, 3), 4: (1, 1)}
+
+
+def test_cut_and_extended_copies_are_found(spark):
+    """No two texts that stay reach the similarity, for copies cut at the end, extended, or changed here and there."""
+    rng = random.Random(21)
+    rows = []
+    for n in [30, 60, 120, 250, 500] * 12:
+        ws = prose(rng, n, 5000).split()
+        other = list(ws)
+        other[rng.randrange(n)] = "changed"
+        rows += [ws, ws[: n - n // 7], ws + prose(rng, n // 8, 5000).split(), other]
+    texts = [" ".join(r) for r in rows]
+    kept = simhash.one_of_each(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = sorted(r["doc_id"] for r in kept)
+    assert not [(i, j) for i in kept for j in kept if i < j and simhash.jaccard(texts[i], texts[j], 5) >= 0.8]
