@@ -6,6 +6,7 @@ shared by all executors, survive the loss of any of them, and cut the lineage of
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -120,7 +121,9 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 50) -> DataFram
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out.scratch_path = now.scratch_path
+    return out
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -131,14 +134,23 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-SMALL_ROWS = 200_000
+SMALL_ROWS, SMALL_BYTES = 200_000, 4 << 20
+
+
+def small(table: DataFrame) -> bool:
+    """Whether a table that ``Scratch.write`` returned may be broadcast: by its rows and by its bytes on disk."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    length = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return length <= SMALL_BYTES and table.count() <= SMALL_ROWS
 
 
 def without(docs: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
-    """Rows of ``docs`` whose ``on`` is not in ``keys``; ``keys``, written already, is broadcast if it is under SMALL_ROWS."""
+    """Rows of ``docs`` whose ``on`` is not in ``keys``, a written table, which is broadcast if it is ``small``."""
     names = [free(docs, f"key{i}") for i in range(len(on))]
+    few = small(keys)
     right = keys.toDF(*[n + "_" for n in names])
-    right = F.broadcast(right) if right.count() <= SMALL_ROWS else right
+    right = F.broadcast(right) if few else right
     left = docs.withColumns(dict(zip(names, on)))
     same = left[names[0]].eqNullSafe(right[names[0] + "_"])
     for n in names[1:]:
@@ -146,47 +158,55 @@ def without(docs: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
     return left.join(right, same, "left_anti").drop(*names)
 
 
-def verified_links(scratch: Scratch, keyed: DataFrame, attrs: list[str], close: Column, texts, verify, bucket: int, key: list[str]) -> DataFrame:
-    """(u, v) links between the ``id`` of ``keyed(*key, id, *attrs)`` that share a key, whose components are those of all links.
+def linked_groups(scratch: Scratch, keyed: DataFrame, texts, verify, likely=lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
+    """Connected groups of the rows of ``keyed(key, id)``, distinct rows of two longs, that share a key and are verified.
+
+    ``texts(ids)`` gives what a comparison needs of some ids, ``verify(pairs, texts)`` takes pairs (u, v) to those
+    that are links, and ``likely(pairs)`` may leave some out beforehand, without texts. Returns (node, root) for linked ids, root the least of its group, and the written texts.
 
-    ``close`` is a cheap condition between a row's ``attrs`` and those named with ``o_``. ``texts(ids)`` gives what the
-    comparison needs of some ids, and ``verify(pairs, texts)`` takes pairs (u, v) to those that are links; the corpus
-    is read once for the small buckets and once for the crowded ones, not in every round. Buckets of up to ``bucket`` members compare all pairs. In a fuller one the
-    least open member is compared with all; those it links to are closed, as they are connected to it; this repeats,
-    with twice as many least members each time, as members that met by chance close none, until at most ``bucket`` members are open, which are then compared with all. No bucket is cut short.
+    All members of a key are compared with its least member. Then groups are formed, and in keys whose members are
+    not yet of one group the least member of each group is compared with all members of the others; last, what is
+    still of different groups and was a least member in neither comparison. So no two members of a key go unlinked
+    uncompared, none that are connected already are compared, and a large group of copies costs a row for each member.
     """
-    sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.write(keyed.join(sizes, key))
-
-    def other(df: DataFrame) -> DataFrame:
-        return df.select(*key, *[F.col(c).alias(f"o_{c}") for c in ["id", *attrs]])
-
-    def pairs(a: DataFrame, b: DataFrame, which: Column) -> DataFrame:
-        both = a.join(other(b), key).where(which).where(close)
-        return both.select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
-
-    differ = F.col("id") != F.col("o_id")
-    few = met.where(F.col("n") <= bucket).drop("n")
-    near = scratch.write(pairs(few, few, F.col("id") < F.col("o_id")))
-    wanted = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
-    found = scratch.write(verify(near, scratch.write(texts(scratch.write(wanted)))))
-    is_open = crowd = met.where(F.col("n") > bucket).drop("n")
-    if not crowd.limit(1).count():
-        return found
-    crowd = is_open = scratch.write(crowd)
-    have = scratch.write(texts(scratch.write(crowd.select("id").distinct())))
-    take = 1
-    while True:
-        busy = is_open.groupBy(*key).agg(F.count(F.lit(1)).alias("open")).where(F.col("open") > bucket).drop("open")
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-        first = scratch.write(is_open.join(busy, key, "left_semi").withColumn("rank", rank).where(F.col("rank") <= take).select(*key, "id", *attrs))
-        take *= 2
-        if not first.limit(1).count():
-            break
-        linked = scratch.write(verify(pairs(crowd, first, differ), have))
-        found = scratch.write(found.unionByName(linked))
-        ends = linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        closed = first.select(*key, F.col("id").alias("u")).join(ends, "u").select(*key, F.col("v").alias("id"))
-        closed = closed.unionByName(first.select(*key, "id")).distinct()
-        is_open = scratch.write(is_open.join(closed, [*key, "id"], "left_anti"))
-    return scratch.write(found.unionByName(verify(pairs(crowd, is_open, differ), have)))
+    dealt = keyed.repartition("key")  # one exchange serves the aggregate and the join
+    stars = dealt.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = scratch.write(dealt.join(stars, "key"))
+    have = scratch.write(texts(scratch.write(met.select("id").distinct())))
+
+    def links(df: DataFrame) -> DataFrame:
+        pairs = df.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+        return scratch.write(verify(scratch.write(likely(pairs)), have))
+
+    found = [links(met.where("id <> rep").withColumnRenamed("rep", "other"))]
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """``rows(key, id, ...)`` with ``label``, without keys that are of one group."""
+        roots = components(scratch, functools.reduce(DataFrame.unionByName, found))
+        named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        named = scratch.write(named)
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        out = scratch.write(named.join(mixed, "key"))
+        scratch.drop(named, roots)
+        return out
+
+    def done() -> tuple[DataFrame, DataFrame]:
+        roots = components(scratch, functools.reduce(DataFrame.unionByName, found))
+        scratch.drop(met, *found)
+        return roots, have
+
+    rest = labelled(met.where("n > 2").select("key", "id", "rep"))
+    if rest.isEmpty():
+        return done()
+    heads = rest.groupBy("key", "label").agg(F.min("id").alias("other")).select("key", "other", F.col("label").alias("of"))
+    # The least member of the key was compared with all.
+    heads = scratch.write(heads)
+    pairs = rest.join(heads, "key").where("label <> of and id <> rep and other <> rep")
+    found.append(links(pairs))
+    tested = heads.select("key", F.col("other").alias("id"))
+    last = labelled(rest.where("id <> rep").select("key", "id").join(tested, ["key", "id"], "left_anti"))
+    if not last.isEmpty():
+        others = last.select("key", F.col("id").alias("other"), F.col("label").alias("of"))
+        found.append(links(last.join(others, "key").where("label < of")))
+    scratch.drop(rest, heads, last)
+    return done()

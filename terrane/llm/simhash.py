@@ -18,7 +18,6 @@ component whose doc_ids are all null has a null id. An empty table gives none.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, Scratch, components, free, text_key, verified_links, without
+from .common import Scratch, components, free, linked_groups, small, text_key, without
+from .wordhash import Words, blocks
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _votes(features: list[bytes]) -> int:
-    hashes = b"".join([xxhash.xxh64_digest(f, seed=42) for f in features])
-    bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(features)).tobytes(), "big")
-
-
-def word_fingerprint(text: str | None) -> int:
-    """A fingerprint of the words themselves, each counted by the number of binary digits of its frequency.
-
-    A changed word alters one feature rather than ``width`` shingles, so near copies stay within few bits.
-    """
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return _votes([w for w, n in Counter(parts).items() for _ in range(n.bit_length())]) if parts else 0
-
-
 def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     """The unsigned fingerprint of one text; votes are counted ``block`` shingles at a time."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -66,13 +51,12 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int | None = 3) -> DataFrame:
-    """``keep`` (``width`` None: of single words) and ``fp``, the fingerprint as a signed long; texts stream through in Arrow batches."""
+def fingerprints(docs: DataFrame, keep: list[str], width: int = 3) -> DataFrame:
+    """``keep`` and ``fp``, the fingerprint as a signed long; texts stream through in Arrow batches."""
 
     def run(batches):
         for b in batches:
-            of = word_fingerprint if width is None else functools.partial(fingerprint, width=width)
-            values = np.array([of(t.as_py()) for t in b.column("text")], dtype=np.uint64).view(np.int64)
+            values = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(values, pa.int64())], names=[*keep, "fp"])
 
     source = docs.select(*keep, "text")
@@ -80,6 +64,7 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int | None = 3) -> Dat
     return source.mapInArrow(run, schema)
 
 
+@functools.cache
 def masks(radius: int) -> list[int]:
     """The covering masks, as signed longs, for a radius of 1 to 6.
 
@@ -142,51 +127,74 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return both / (len(sets[0]) + len(sets[1]) - both) if both else float(not sets[0] and not sets[1])
 
 
-BANDS, ROWS = 20, 5
+VALUES, BANDS, ROWS, NEAR = 128, 40, 8, 2
 
 
-def band_keys(text: str | None, width: int, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """MinHash keys of a text's word shingles: texts of Jaccard similarity s share one with probability 1 - (1 - s^rows)^bands."""
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    shingles = {b" ".join(parts[i : i + width]) for i in range(max(1, len(parts) - width + 1))}
-    hashes = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in shingles], dtype=np.uint64)
-    draws = np.random.default_rng(42).integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = hashes[at : at + 4096, None] * (draws[0] | np.uint64(1)) + draws[1]
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), seed=i) for i, b in enumerate(least.reshape(bands, rows))], dtype=np.uint64).view(np.int64)
+@functools.cache
+def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and addends of the MinHash values, and the values each band takes."""
+    rng = np.random.default_rng(42)
+    factors, addends = rng.integers(0, 1 << 63, (2, VALUES), dtype=np.uint64)
+    return factors | np.uint64(1), addends, np.array([rng.choice(VALUES, ROWS, replace=False) for _ in range(BANDS)])
 
 
-def band_table(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """``keep`` and ``keys``, the MinHash keys; texts stream through in Arrow batches."""
+def near_keys(shingles: np.ndarray, radius: int = NEAR) -> np.ndarray:
+    """The buckets of a text from the hashes of its shingles.
+
+    First those of its fingerprint under the covering masks, in which any two texts within ``radius`` bits meet; then
+    ``BANDS`` of ``ROWS`` MinHash values each, since texts of similarity 0.8 are mostly more bits apart than that.
+    """
+    factors, addends, bands = _draws()
+    votes, least = np.zeros(BITS, dtype=np.int64), np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        some = shingles[at : at + 4096]
+        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (some[:, None] * factors + addends).min(axis=0))
+    fp = int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big")
+    keys = [xxhash.xxh64_intdigest((fp & m & (1 << BITS) - 1).to_bytes(8, "big"), seed=1000 + t) for t, m in enumerate(masks(radius))]
+    keys += [xxhash.xxh64_intdigest(least[b].tobytes(), seed=i) for i, b in enumerate(bands)]
+    return np.array(keys, dtype=np.uint64).view(np.int64)
+
+
+def shingle_hashes(texts: list[str | None], width: int):
+    """For each text the hashes of its word shingles; of fewer words the whole, of none a zero."""
+    rows = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    for i, j in blocks(rows):
+        w = Words(rows[i:j])
+        runs = {n: w.runs(n)[0] for n in range(1, width + 1)}
+        for a, b in zip(w.first.tolist(), [*w.first[1:].tolist(), len(w.h)]):
+            n = min(b - a, width)
+            yield runs[n][a : b - n + 1] if n else np.zeros(1, np.uint64)
+
+
+def key_table(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """``keep`` and ``keys``; texts stream through in Arrow batches."""
 
     def run(batches):
         for b in batches:
-            keys = pa.array([band_keys(t.as_py(), width).tolist() for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [keys], names=[*keep, "keys"])
+            keys = [near_keys(h).tolist() for h in shingle_hashes(b.column("text").to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(keys, pa.list_(pa.int64()))], names=[*keep, "keys"])
 
     schema = docs.select(*keep).withColumn("keys", F.array().cast("array<long>")).schema
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
-    """(doc_id, k1, k2, n, first): rows by id and text, and whether they are the first of their group of near copies.
+def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, k1, k2, n, first), written: rows by id and text, and whether they are the first of their group of near copies.
 
-    Texts are candidates if they share one of ``BANDS`` MinHash keys of ``ROWS`` values each of their word shingles (at
-    0.8 one pair in some 2 800 does not) and are linked if their shingles have the Jaccard similarity asked for. Equal texts are one
-    node, and texts without words, null or not, are alike. A node goes by the first 64 bits of its key; should two texts share those, the second is left alone.
+    Texts are compared if they share a bucket of ``near_keys`` (by calculation one pair in some 200 at 0.8 shares none,
+    fewer above) and are linked if their sets of word shingles have the Jaccard similarity asked for. Equal texts are one
+    node, and texts without words, null or not, are alike. A node goes by the first 64 bits of its key; should two texts
+    share those, the second is left alone.
     """
     scratch = Scratch(spark, "similar")
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
-    table = scratch.write(band_table(keyed, ["doc_id", "k1", "k2"], width))
-    nodes = table.groupBy(F.col("k1").alias("id")).agg(F.min("keys").alias("keys"), F.min("k2").alias("k2"))
-    met = nodes.select("id", F.explode("keys").alias("key"))
+    nodes = key_table(keyed, ["k1"], width).groupBy(F.col("k1").alias("id")).agg(F.min("keys").alias("keys"))
+    met = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key"))
 
     def texts(ids: DataFrame) -> DataFrame:
-        small = ids.count() <= SMALL_ROWS
-        some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
-        return some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.text")
+        some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(ids) if small(ids) else ids, "id", "left_semi")
+        return some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.k2", "t.text")
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
@@ -198,26 +206,26 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
 
         return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
-    links = verified_links(scratch, met, [], F.lit(True), texts, verify, bucket, ["key"])
-    roots = components(scratch, links).withColumnRenamed("node", "k1")
-    own = nodes.select(F.col("id").alias("k1"), F.col("k2").alias("own"))
-    rows = table.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(own, "k1").join(roots, "k1", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "k1")).withColumn("odd", F.col("k2") != F.col("own"))
-    group = [F.col("root"), F.when(F.col("odd"), F.col("k2"))]
-    rows = rows.select("doc_id", "k1", "k2", "n", group[0].alias("g"), group[1].alias("g2"))
+    roots, have = linked_groups(scratch, met, texts, verify)
+    linked = scratch.write(roots.join(have.select(F.col("id").alias("node"), "k2"), "node").select(F.col("node").alias("k1"), "k2", "root"))
+    rows = keyed.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(linked, ["k1", "k2"], "left")
+    group = [F.coalesce("root", "k1").alias("g"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2")]
+    rows = scratch.write(rows.select("doc_id", "k1", "k2", "n", *group))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     firsts = rows.groupBy("g", "g2").agg(F.min(place).alias("place")).select(F.col("g").alias("h"), F.col("g2").alias("h2"), "place")
     joined = rows.join(firsts, (F.col("g") == F.col("h")) & F.col("g2").eqNullSafe(F.col("h2")))
-    return scratch.write(joined.select("doc_id", "k1", "k2", "n", (place == F.col("place")).alias("first")))
+    out = scratch.write(joined.select("doc_id", "k1", "k2", "n", (place == F.col("place")).alias("first")))
+    scratch.drop(have, linked, rows, roots)
+    return out
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of least doc_id."""
-    rows = similar_groups(spark, docs, **how)
+    scratch, rows = Scratch(spark, "one"), similar_groups(spark, docs, **how)
     keys = [F.col("doc_id"), *text_key(F.col("text"))]
-    kept = without(docs, rows.where("not first").select("doc_id", "k1", "k2"), keys)
-    repeated = rows.where("first and n > 1").select("doc_id", "k1", "k2")
-    if not repeated.limit(1).count():
+    kept = without(docs, scratch.write(rows.where("not first").select("doc_id", "k1", "k2")), keys)
+    repeated = scratch.write(rows.where("first and n > 1").select("doc_id", "k1", "k2"))
+    if repeated.isEmpty():
         return kept
     # Rows that are equal in id and text: one of them stays.
     single = without(kept, repeated, keys)
