@@ -56,9 +56,9 @@ class Scratch:
         self.base = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def write(self, df: DataFrame, *, sort_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, *, sort_by: list[str] | None = None, suffix: str = "") -> DataFrame:
         self._n += 1
-        path = f"{self.base}/{self._n:04d}"
+        path = f"{self.base}/{self._n:04d}{suffix}"
         (df.sortWithinPartitions(*sort_by) if sort_by else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
@@ -134,6 +134,16 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def beside(keep: list[str], *new: str) -> list[str]:
+    """``keep`` without the names that an operator sets itself, whatever their case."""
+    return [c for c in keep if c.lower() not in new]
+
+
+def masked(docs: DataFrame, keep: list[str], *more) -> DataFrame:
+    """``keep`` under the names c0, c1, ... and the columns ``more``, so that no name of the table clashes with theirs."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *more)
+
+
 SMALL_ROWS, SMALL_BYTES = 200_000, 4 << 20
 
 

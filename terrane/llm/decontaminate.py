@@ -8,10 +8,12 @@ that stick out of the document go (length bound), and what is left is verified s
 themselves, position by position. Documents are read once for shingles and once for word counts; only shingles that
 occur in some item are ever shuffled.
 
-The item shingles are broadcast while they are under ``BROADCAST_ROWS`` rows; beyond, the same join is a shuffle.
+The item shingles are broadcast if they are ``small`` in rows and bytes; beyond, the same join is a shuffle.
 
-Cases: a null or wordless text has no windows and no words. Equal texts share one result. Null and repeated ids are
-kept as rows. With an empty benchmark nothing is hit.
+Cases: a null or wordless text has no windows and no words. Equal texts share one result. Null and repeated ids of
+documents are kept as rows; items without an id count as one item, which has no name in the list of ids. Very long
+texts are exploded word by word. With an empty benchmark nothing is hit; no documents give none. Only doc_id, item_id
+and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -19,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, text_key
+from .common import Scratch, lower_ascii, small, text_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-BROADCAST_ROWS = 200_000
 
 
 def item_words(text: Column) -> Column:
@@ -56,13 +57,13 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10
         return spark.createDataFrame([], "k1 long, k2 long, item_id long, start int, length int")
     parts = scratch.write(parts)
 
-    tokens = parts.select("shingle", "k").distinct()
-    small = tokens.count() <= BROADCAST_ROWS
+    tokens = scratch.write(parts.select("shingle", "k").distinct())
+    few = small(tokens)
     texts = docs.select(*text_key(F.col("text")), item_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     found = None
     for k in sizes:
         want = tokens.where(F.col("k") == k).select("shingle")
-        own = shingles(texts, k, ["k1", "k2", "n"]).join(F.broadcast(want) if small else want, "shingle")
+        own = shingles(texts, k, ["k1", "k2", "n"]).join(F.broadcast(want) if few else want, "shingle")
         found = own if found is None else found.unionByName(own)
     counted = found.groupBy("k1", "k2", "n", "pos", "shingle").agg(F.count(F.lit(1)).alias("copies"))
     found = scratch.write(counted)
@@ -85,12 +86,12 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """(k1, k2, n_hit, item_ids) of each text that holds some window of some item."""
+    """(k1, k2, n_hit, n_items, item_ids) of each text that holds some window of some item."""
     found = hits(spark, docs, items, width)
     reach = found.groupBy("k1", "k2", "start").agg(F.max("length").alias("length"))
     covered = reach.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
     words = covered.distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
-    names = found.select("k1", "k2", F.col("item_id").cast("string").alias("i")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("i")).alias("item_ids"))
+    names = found.select("k1", "k2", F.col("item_id").cast("string").alias("i")).distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("i")).alias("item_ids"))
     return words.join(names, ["k1", "k2"])
 
 
@@ -103,6 +104,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     return base.join(marks, ["k1", "k2"], "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )

@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of those text queries that SQL can express on whole tables."""
 
+from .quality import BOILERPLATE, NOTICE
+
 W = r"'[^\x20\x09-\x0D]+'"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
@@ -84,7 +86,7 @@ WITH d AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)
 """
 
-_NOTICES = "licensed under the|released under the|this work is licensed|all rights reserved|copyright |terms of service|privacy policy|cookie policy|use of cookies|javascript|lorem ipsum"
+_NOTICES = "|".join(BOILERPLATE)
 OP8 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {W}) AS w,
@@ -100,15 +102,15 @@ WITH d AS (
     len(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS marks, len(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper_, len(regexp_replace(line, '[^\p{{Ll}}]+', '', 'g')) AS lower_
   FROM (SELECT row, unnest(lines) AS line FROM d)
 ), stay AS (
-  SELECT row, sum(n) AS n_sound_words, sum(CASE WHEN regexp_matches(lower(line), '{_NOTICES}') THEN 0 ELSE n END) AS n_kept_words FROM judged
-  WHERE NOT (bars >= greatest(2, n / 6) OR marks > n / 4 OR (n >= 4 AND upper_ > lower_)
+  SELECT row, sum(n) AS n_kept_words FROM judged
+  WHERE NOT (n <= {NOTICE} AND regexp_matches(lower(line), '{_NOTICES}')) AND NOT (bars >= greatest(2, n / 6) OR marks > n / 4 OR (n >= 4 AND upper_ > lower_)
     OR (n < 5 AND NOT regexp_matches(line, '[.!?:;…"''”’»)\]]\s*$'))) GROUP BY row
 ), base AS (
   SELECT row, doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(n_kept_words, 0)::BIGINT AS n_kept_words, coalesce(n_sound_words, 0)::BIGINT AS n_sound_words
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(n_kept_words, 0)::BIGINT AS n_kept_words
   FROM d LEFT JOIN repeats USING (row) LEFT JOIN stay USING (row)
 ), failed AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_sound_words <= 0.5 * n_words AND n_kept_words > 0 AS kept, n_kept_words FROM failed
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_kept_words <= 0.5 * n_words AND n_kept_words > 0 AS kept, n_kept_words FROM failed
 """

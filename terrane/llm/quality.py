@@ -2,12 +2,14 @@
 
 A line fails as *navigation* (a row of items between bars), *symbols* (marks in every few words), *shouting* (capital
 letters outnumber small ones in a line of some length), *punctuation* (a short fragment that no sentence mark ends)
-or *boilerplate* (licence, rights, cookie and script notices). Lines without a word are neither kept nor counted.
-Notices go without being held against the document: the words lost are those of the other failures, and a document
-is rejected if they are more than half of its words, or if no line is left.
+or *boilerplate* (a line of at most ``NOTICE`` words that gives a licence, reserves rights or asks for cookies or scripts).
+Lines without a word are neither kept nor counted. A document is rejected if the lines that fail hold more than half of
+its words, or if no line is left.
 
 Cases: a null or blank text has no words and fails the base rules. Equal rows get equal results; nothing is compared
-across documents, so there is no shuffle. All is done by DataFrame functions, line by line inside a row.
+across documents, so there is no shuffle, and a very long text is a row like any other. All is done by DataFrame
+functions, line by line inside a row. An empty table gives none. Other columns stay, whatever their names; those of the
+names it sets are replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import free, words
 
 #: Phrases that mark a line as a notice rather than prose, in lower case.
-BOILERPLATE = ("licensed under the", "released under the", "this work is licensed", "all rights reserved", "copyright ", "terms of service", "privacy policy", "cookie policy", "use of cookies", "javascript", "lorem ipsum")
+BOILERPLATE = (
+    "licensed under", "released under the", "all rights reserved", "(copyright|©) ?(©|[(]c[)]|[12][0-9]{3})", "terms of (service|use)", "privacy policy", "cookie policy", "use of cookies",
+    "(enable|requires) javascript", "javascript is (disabled|required)", "lorem ipsum",
+    "lizenziert unter", "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "sous licence", "tous droits réservés", "politique de confidentialité", "bajo licencia",
+    "todos los derechos reservados", "política de privacidad", "uso de cookies",
+)
+NOTICE = 40
 ENDS = r"""[.!?:;…"'”’»)\]]\s*$"""
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -29,7 +37,7 @@ def _only(text: Column, keep: str) -> Column:
 
 
 def is_notice(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(BOILERPLATE))
+    return F.lower(line).rlike("|".join(BOILERPLATE)) & (F.size(words(line)) <= NOTICE)
 
 
 def is_junk(line: Column) -> Column:
@@ -45,28 +53,28 @@ def is_junk(line: Column) -> Column:
 def clean_lines(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     """Adds to ``docs``: n_words, the base counts, ``kept_lines`` (the lines that stay), n_kept_words, n_lost_words, base_failed, kept."""
     n = F.col("n_words")
-    d = docs.withColumn("_w", words(F.col("text"))).withColumn("n_words", F.size("_w").cast("long"))
-    grams = F.arrays_zip(*[F.slice("_w", k, F.greatest(n.cast("int") - 4, F.lit(0))).alias(f"g{k}") for k in range(1, 6)])
-    d = d.withColumn("_h", F.when(n > 5, F.transform(grams, lambda g: F.xxhash64(*[g[f"g{k}"] for k in range(1, 6)]))))
-    d = d.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    again = F.filter("_s", lambda s, i: (s["h"] == F.get("_s", i - 1)["h"]) | (s["h"] == F.get("_s", i + 1)["h"]))
-    d = d.withColumn("_p", F.sort_array(F.transform(again, lambda s: s["i"])))
-    cover = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(5), F.coalesce(F.get("_p", i + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
+    w_, h_, s_, p_, lines_ = (free(docs, x) for x in ("own_w", "own_h", "own_s", "own_p", "own_lines"))
+    d = docs.withColumn(w_, words(F.col("text"))).withColumn("n_words", F.size(w_).cast("long"))
+    grams = F.arrays_zip(*[F.slice(w_, k, F.greatest(n.cast("int") - 4, F.lit(0))).alias(f"g{k}") for k in range(1, 6)])
+    d = d.withColumn(h_, F.when(n > 5, F.transform(grams, lambda g: F.xxhash64(*[g[f"g{k}"] for k in range(1, 6)]))))
+    d = d.withColumn(s_, F.when(F.size(F.array_distinct(h_)) < F.size(h_), F.sort_array(F.transform(h_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    again = F.filter(s_, lambda s, i: (s["h"] == F.get(s_, i - 1)["h"]) | (s["h"] == F.get(s_, i + 1)["h"]))
+    d = d.withColumn(p_, F.sort_array(F.transform(again, lambda s: s["i"])))
+    cover = F.aggregate(F.transform(p_, lambda p, i: F.least(F.lit(5), F.coalesce(F.get(p_, i + 1) - p, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     has_word = lambda x: x.rlike(WORD)
-    d = d.withColumn("_lines", F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), has_word))
+    d = d.withColumn(lines_, F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), has_word))
     d = d.withColumns({
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "word_chars": F.length(F.array_join(w_, "")).cast("long"),
         "n_symbols": _only(F.coalesce(F.col("text"), F.lit("")), "#*$%&|<>").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
         "n_repeat_words": F.coalesce(cover, F.lit(0)).cast("long"),
-        "_sound": F.filter("_lines", lambda x: ~is_junk(x)),
+        "kept_lines": F.filter(lines_, lambda x: ~is_junk(x) & ~is_notice(x)),
     })
-    d = d.withColumn("kept_lines", F.filter("_sound", lambda x: ~is_notice(x)))
     d = d.withColumn("n_kept_words", F.size(words(F.array_join("kept_lines", "\n"))).cast("long"))
-    d = d.withColumn("n_lost_words", n - F.size(words(F.array_join("_sound", "\n"))))
+    d = d.withColumn("n_lost_words", n - F.col("n_kept_words"))
     d = d.withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_lost * n) & (F.col("n_kept_words") > 0))
-    return d.drop("_w", "_h", "_s", "_p", "_lines", "_sound")
+    return d.drop(w_, h_, s_, p_, lines_)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ and all who meet there are linked to the least of them - a chain of links throug
 exactly those that pairs within two bits would join, with rows in proportion to the members.
 
 Cases: a null or wordless text has fingerprint zero and links like any other. Equal rows are members one by one. A
-component whose doc_ids are all null has a null id. An empty table gives none.
+component whose doc_ids are all null has a null id. Very long texts are hashed whole, in blocks. An empty table gives
+none. Kept columns may have any name; those called fp or component_id are set anew.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, free, linked_groups, small, text_key, without
+from .common import Scratch, beside, components, free, linked_groups, masked, small, text_key, without
 from .wordhash import Words, blocks
 
 BITS = 64
@@ -54,14 +55,15 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
 def fingerprints(docs: DataFrame, keep: list[str], width: int = 3) -> DataFrame:
     """``keep`` and ``fp``, the fingerprint as a signed long; texts stream through in Arrow batches."""
 
+    source = masked(docs, keep, F.col("text").alias("text"))
+    own = source.columns[:-1]
+
     def run(batches):
         for b in batches:
             values = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(values, pa.int64())], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [pa.array(values, pa.int64())], names=[*own, "fp"])
 
-    source = docs.select(*keep, "text")
-    schema = source.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, source.select(*own).withColumn("fp", F.lit(0).cast("long")).schema).toDF(*keep, "fp")
 
 
 @functools.cache
@@ -107,7 +109,7 @@ def links(scratch: Scratch, fps: DataFrame, radius: int = 2, bucket: int = 64) -
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, keep: list[str], width: int = 3, radius: int = 2) -> DataFrame:
     """``keep``, fp and component_id, the smallest doc_id in the component. ``keep`` must hold doc_id."""
-    scratch = Scratch(spark, "simhash")
+    scratch, keep = Scratch(spark, "simhash"), beside(keep, "fp", "component_id")
     table = scratch.write(fingerprints(docs, keep, width))
     distinct = scratch.write(table.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(scratch, links(scratch, distinct.select("fp"), radius))

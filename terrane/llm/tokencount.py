@@ -10,7 +10,8 @@ lacks a piece counts as one unknown token. The vocabulary file is read by the dr
 has at most as many nodes as the vocabulary has bytes.
 
 Cases: null and blank texts have no words and no tokens. Words of any length are read whole. Documents are
-independent, so equal rows get equal counts and nothing is shuffled.
+independent, so equal rows get equal counts and nothing is shuffled. An empty table gives none. Kept columns may have
+any name; those called n_words or n_tokens are set anew.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import beside, masked
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -104,7 +107,12 @@ class _Counts(dict):
 
 def token_counts(spark: SparkSession, docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep``, n_words and n_tokens."""
+    if not Path(vocabulary).is_file():
+        raise ValueError(f"no vocabulary file at {vocabulary}: give the path of a file of lines 'base64 rank'")
     shared = spark.sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))
+    keep = beside(keep, "n_words", "n_tokens")
+    source = masked(docs, keep, F.col("text").alias("text"))
+    own = source.columns[:-1]
 
     def run(batches):
         counts = _Counts(shared.value)
@@ -114,11 +122,10 @@ def token_counts(spark: SparkSession, docs: DataFrame, keep: list[str], vocabula
                 parts = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
                 words.append(len(parts))
                 tokens.append(sum(map(counts.__getitem__, parts)))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*keep, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*own, "n_words", "n_tokens"])
 
-    source = docs.select(*keep, "text")
     zero = F.lit(0).cast("long")
-    return source.mapInArrow(run, source.select(*keep).withColumns({"n_words": zero, "n_tokens": zero}).schema)
+    return source.mapInArrow(run, source.select(*own).withColumns({"n_words": zero, "n_tokens": zero}).schema).toDF(*keep, "n_words", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
