@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.pairs import sqdist, within_bound
+from terrane.operators.pairs import count_of, ids_of, kind_of, pair_sqdist, sparse_block, sqdist, within_bound
 from terrane.session import checkpointed
 
 from . import kernels
+from .quadtree import Quadtree
 
 
 def scheme(n: int, threads: int = 4, layers: int = 2) -> dict:
@@ -49,6 +50,11 @@ def chunk_assignment(ids: DataFrame, threads: int, layers: int, seed: int, epoch
     return d.select(F.pmod(F.col("chunk") - F.col("l"), F.lit(threads)).cast("int").alias("worker"), (F.col("l") + 1).alias("layer"), "id")
 
 
+def bounded(theta: float) -> float:
+    """Opening angles under 0.33 mean no tree, and none is over 0.8."""
+    return 0.0 if theta < 0.33 else min(theta, 0.8)
+
+
 @dataclass
 class Layout:
     y: DataFrame
@@ -64,28 +70,51 @@ def _size(y: DataFrame) -> float:
 
 def _epoch(points: DataFrame, betas: DataFrame, y: DataFrame, assigned: DataFrame, size: int, iters: int, eta: float, alpha: float, theta: float) -> DataFrame:
     """(id, layer, y1, y2, worker, cost): every worker improves its own points; a (point, layer) has one worker."""
-    rows = assigned.join(y, ["id", "layer"]).join(betas.select("id", "beta", "znorm"), "id").join(points.select("id", "x"), "id")
+    kind, schema = kind_of(points), "id bigint, layer int, y1 double, y2 double, worker int, cost double"
+    rows = assigned.join(y, ["id", "layer"]).join(betas.select("id", "beta", "znorm"), "id")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["layer", "id"], ignore_index=True)
-        x = np.stack(f["x"].to_numpy())
+    def improve(f: pd.DataFrame, sq: np.ndarray) -> pd.DataFrame:
         pos = f[["y1", "y2"]].to_numpy()
-        pick, p = kernels.affinities(sqdist(x, x), f["beta"].to_numpy(), f["znorm"].to_numpy(), min(size, len(f) - 1))
+        pick, p = kernels.affinities(sq, f["beta"].to_numpy(), f["znorm"].to_numpy(), min(size, len(f) - 1))
         pos, c = kernels.run_chunk(pos, pick, p, iters, eta, alpha, theta)
         return pd.DataFrame({"id": f["id"], "layer": f["layer"], "y1": pos[:, 0], "y2": pos[:, 1], "worker": f["worker"], "cost": c})
 
-    return rows.groupBy("worker").applyInPandas(run, "id bigint, layer int, y1 double, y2 double, worker int, cost double")
+    def of_points(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["layer", "id"], ignore_index=True)
+        if kind == "dense":
+            x = np.stack(f["x"].to_numpy())
+            return improve(f, sqdist(x, x))
+        packed = (f["x"].map(len).to_numpy(), np.concatenate([list(m) for m in f["x"]]), np.concatenate([list(m.values()) for m in f["x"]]))
+        return improve(f, sparse_block(packed, packed))
+
+    def of_distances(f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["layer", "id"], ignore_index=True)
+        if not len(f):
+            return pd.DataFrame(columns=["id", "layer", "y1", "y2", "worker", "cost"])
+        ids = np.unique(f["id"].to_numpy())
+        near = np.zeros((len(ids), len(ids)))
+        i, j = np.searchsorted(ids, d["i"].to_numpy()), np.searchsorted(ids, d["j"].to_numpy())
+        near[i, j] = near[j, i] = d["sqdist"].to_numpy()
+        at = np.searchsorted(ids, f["id"].to_numpy())
+        return improve(f, near[np.ix_(at, at)])
+
+    if kind != "distances":
+        return rows.join(points.select("id", "x"), "id").groupBy("worker").applyInPandas(of_points, schema)
+    who = assigned.select("worker", "id").distinct()
+    one, two = (who.select(F.col("worker").alias(w), F.col("id").alias(c)) for w, c in (("worker", "i"), ("w2", "j")))
+    given = pair_sqdist(points).join(one, "i").join(two, "j").where("worker = w2")
+    return rows.groupBy("worker").cogroup(given.select("worker", "i", "j", "sqdist").groupBy("worker")).applyInPandas(of_distances, schema)
 
 
 def ptsne(points: DataFrame, betas: DataFrame, ppx: int, theta: float = 0.5, threads: int = 4, layers: int = 2, seed: int = 0, y: DataFrame | None = None, epochs: int | None = None, iters: int | None = None, frames: bool = False, before: Layout | None = None) -> Layout:
     """Chunk-parallel t-SNE. ``threads`` is the number of chunks: take it so that a chunk has a few thousand points."""
     layers = min(layers, threads)
-    theta = 0.0 if 0 < theta < 0.33 else min(theta, 0.8)
-    n = points.count()
+    theta = bounded(theta)
+    n = count_of(points)
     plan = scheme(n, threads, layers)
     total, per = plan["epochs"], iters if iters is not None else plan["iters"]
     size = nn_size(n, ppx, threads, layers)
-    ids = points.select("id")
+    ids = ids_of(points)
     out = before or Layout(checkpointed(y if y is not None else initial(ids, layers, seed)))
     first = 0 if before is None else max((e for e, *_ in out.costs), default=0) + 1
     last = first + (epochs if epochs is not None else total)
@@ -113,7 +142,7 @@ def restart(points: DataFrame, betas: DataFrame, ppx: int, before: Layout, epoch
 
 def global_affinities(points: DataFrame, betas: DataFrame, ppx: int, xppx: float = 3.0) -> DataFrame:
     """(i, j, p) of the neighbours within the bound of i: the kernels of both ends, not yet divided by their sum."""
-    n = points.count()
+    n = count_of(points)
     size = int(min(ppx * xppx, n - 1))
     near = within_bound(points, min(int(xppx * ppx + 1), n - 1), size)
     b = betas.select("id", "beta", "znorm")
@@ -122,19 +151,20 @@ def global_affinities(points: DataFrame, betas: DataFrame, ppx: int, xppx: float
     return d.select("i", "j", p.alias("p"))
 
 
-def mtsne(points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta: float = 0.5, seed: int = 0, y: DataFrame | None = None, frames: bool = False, stop: float = 2e-4, every: int = 25) -> Layout:
+def mtsne(points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta: float = 0.5, seed: int = 0, y: DataFrame | None = None, frames: bool = False, stop: float = 2e-4, every: int = 25, most: int = 5_000_000) -> Layout:
     """Global t-SNE: affinities from a join, one job an iteration, the layout of all points broadcast to each task.
 
-    A layout is 24 bytes a point, and the repulsion needs all of it: the broadcast is bounded by ``MOST`` points.
+    The repulsion is exact, or by a quadtree that each task builds of the layout if ``theta`` is 0.33 or more. A layout
+    is 24 bytes a point, and the repulsion needs all of it: ``most`` points bound the broadcast, by default to 120 MB.
     """
-    n = points.count()
-    if n > MOST:
-        raise ValueError(f"global t-SNE takes up to {MOST} points; use ptsne")
-    spark = points.sparkSession
+    n = count_of(points)
+    if n > most:
+        raise ValueError(f"global t-SNE takes up to {most} points; raise most if a broadcast of {24 * n} bytes fits, or use ptsne")
+    theta, spark = bounded(theta), points.sparkSession
     p = checkpointed(global_affinities(points, betas, ppx).groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("p").alias("p")))
     total = p.select(F.sum(F.aggregate("p", F.lit(0.0), lambda a, v: a + v))).first()[0]
     size = int(min(3 * ppx, n - 1))
-    start = (y if y is not None else initial(points.select("id"), 1, seed)).where("layer = 1").orderBy("id").toPandas()
+    start = (y if y is not None else initial(ids_of(points), 1, seed)).where("layer = 1").orderBy("id").toPandas()
     ids, pos = start["id"].to_numpy(), start[["y1", "y2"]].to_numpy()
     u, g = np.zeros_like(pos), np.ones_like(pos)
     out, last = Layout(None), np.inf
@@ -143,18 +173,26 @@ def mtsne(points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta
 
         def run(frames):
             ids_, y_ = shared.value
+            tree = Quadtree(y_) if theta >= 0.33 else None
             for f in frames:
                 at = np.searchsorted(ids_, f["i"].to_numpy())
-                d = y_[at][:, None] - y_[None]
-                q = 1 / (1 + (d**2).sum(axis=2))
-                q[np.arange(len(at)), at] = 0
-                push = ((q**2)[:, :, None] * d).sum(axis=1)
+                push, mass = np.empty((len(at), 2)), np.zeros(len(at))
+                if tree is not None:
+                    push, total_mass = tree.repulsion(theta, at)
+                    mass[:1] = total_mass  # only its sum counts
+                else:
+                    for a in range(0, len(at), step := max(1, ROWS // len(y_))):  # a bounded piece of the matrix at a time
+                        some = at[a : a + step]
+                        d = y_[some][:, None] - y_[None]
+                        q = 1 / (1 + (d**2).sum(axis=2))
+                        q[np.arange(len(some)), some] = 0
+                        push[a : a + step], mass[a : a + step] = ((q**2)[:, :, None] * d).sum(axis=1), q.sum(axis=1)
                 rows = []
                 for k, (js, ps) in enumerate(zip(f["j"], f["p"])):
                     dv = y_[at[k]] - y_[np.searchsorted(ids_, np.asarray(js))]
                     sq = (dv**2).sum(axis=1)
                     w = np.asarray(ps) / (1 + sq)
-                    rows.append((int(f["i"].iloc[k]), *(w[:, None] * dv).sum(axis=0), *push[k], float(q[k].sum()), float((np.asarray(ps) * np.log1p(sq)).sum())))
+                    rows.append((int(f["i"].iloc[k]), *(w[:, None] * dv).sum(axis=0), *push[k], float(mass[k]), float((np.asarray(ps) * np.log1p(sq)).sum())))
                 yield pd.DataFrame(rows, columns=["i", "a1", "a2", "r1", "r2", "q", "c"])
 
         f = p.mapInPandas(run, "i bigint, a1 double, a2 double, r1 double, r2 double, q double, c double").toPandas().sort_values("i")
@@ -171,13 +209,14 @@ def mtsne(points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta
         pos, u, g = kernels.step(pos, u, g, grad, eta, alpha)
         shared.unpersist()
         if frames and it % every == 0:
-            out.frames.append(pos.copy())
+            out.frames.append(spark.createDataFrame(pd.DataFrame({"id": ids, "layer": 1, "y1": pos[:, 0], "y2": pos[:, 1], "epoch": it}), "id bigint, layer int, y1 double, y2 double, epoch int"))
     rows = pd.DataFrame({"id": ids, "layer": 1, "y1": pos[:, 0], "y2": pos[:, 1]})
     out.y = spark.createDataFrame(rows, "id bigint, layer int, y1 double, y2 double")
     return out
 
 
-MOST = 200_000
+#: Entries of the distance matrix that a task holds at once.
+ROWS = 2_000_000
 
 
 def layer_average(y: DataFrame) -> DataFrame:
@@ -195,4 +234,4 @@ def neighbour_check(points: DataFrame, betas: DataFrame, size: int, sample: int,
         _, p = kernels.affinities(sqdist(x, x), f["beta"].to_numpy(), f["znorm"].to_numpy(), min(size, len(f) - 1))
         return pd.DataFrame({"id": f["id"], "positive": (p > 0).sum(axis=1), "total": p.sum(axis=1)})
 
-    return some.groupBy(F.lit(1)).applyInPandas(run, "id bigint, positive bigint, total double")
+    return some.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id bigint, positive bigint, total double")

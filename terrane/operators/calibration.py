@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.lambertw import lambert_wm1
 
-from .pairs import nearest, q_nn
+from .pairs import count_of, nearest, q_nn
 
 TOLERANCE, ROUNDS = float(np.log(1 / 0.99999)), 100
 
@@ -66,8 +66,8 @@ def neighbourhoods(points: DataFrame, q: int) -> DataFrame:
 
 
 def calibrate(points: DataFrame, ppx: int | list[int], xppx: float = 3.0, n: int | None = None) -> DataFrame:
-    """(id, ppx, beta, znorm, lq), for one perplexity or several; znorm is twice Z."""
-    n = points.count() if n is None else n
+    """(id, ppx, beta, znorm, lq) of points of any kind, for one perplexity or several; znorm is twice Z."""
+    n = count_of(points) if n is None else n
     out = None
     for p in [ppx] if isinstance(ppx, int) else ppx:
 

@@ -18,24 +18,28 @@ def raster_frame(y: DataFrame, g: int, g_exp: float = 3.0) -> dict:
         F.min_by(F.col("y1") - F.col("r"), "y1").alias("x0"), F.max_by(F.col("y1") + F.col("r"), "y1").alias("x1"),
         F.min_by(F.col("y2") - F.col("r"), "y2").alias("y0"), F.max_by(F.col("y2") + F.col("r"), "y2").alias("y1"), F.count(F.lit(1)).alias("n"),
     ).first().asDict()
+    if not r["n"]:
+        return r | {"g": g, "d": None}
     return r | {"g": g, "d": (r["x1"] - r["x0"]) / (g - 1) * (r["y1"] - r["y0"]) / (g - 1)}
 
 
 def density(y: DataFrame, g: int = 200, g_exp: float = 3.0, classes: str | None = None, frame: dict | None = None) -> DataFrame:
     """(cell, cx, cy, gx, gy, z) of ``y(id, y1, y2, beta)``; with ``classes``, a row for each (cell, class) and its p.
 
-    Every batch of points adds up a raster of its own; rasters are then summed by cell.
+    Every batch of points adds up a raster of its own; rasters are then summed by cell. The kernel is a product of one in
+    each direction, so a batch takes two short exponentials a point and one matrix product. No points give no cells.
     """
     fr = frame or raster_frame(y, g, g_exp)
+    if not fr["n"]:
+        kind = dict(y.dtypes)[classes] if classes else ""
+        return y.sparkSession.createDataFrame([], f"cell bigint, class {kind}, p double" if classes else "cell bigint, cx int, cy int, gx double, gy double, z double")
     xs, ys = np.linspace(fr["x0"], fr["x1"], g), np.linspace(fr["y0"], fr["y1"], g)
     scale = fr["d"] / (np.pi * fr["n"])
     cell = np.arange(g * g)
 
     def partial(f: pd.DataFrame) -> np.ndarray:
-        z = np.zeros((g, g))
-        for a, b, k in zip(f["y1"].to_numpy(), f["y2"].to_numpy(), f["beta"].to_numpy()):
-            z += np.exp(-k * ((b - ys) ** 2)[:, None] - k * ((a - xs) ** 2)[None]) * k
-        return z.ravel() * scale
+        a, b, k = (f[c].to_numpy()[:, None] for c in ("y1", "y2", "beta"))
+        return ((np.exp(-k * (b - ys) ** 2) * k).T @ np.exp(-k * (a - xs) ** 2)).ravel() * scale
 
     def run(frames):
         total = None
@@ -86,21 +90,25 @@ def grid_frame(y: DataFrame, g: int) -> DataFrame:
     for axis, c in (("x", "y1"), ("y", "y2")):
         row = b.select(F.lit(axis).alias("axis"), F.lit(g).alias("size"), F.floor(f"lo{c}").cast("double").alias("min"), F.ceil(f"hi{c}").cast("double").alias("max"))
         axes = row if axes is None else axes.unionByName(row)
-    axes = axes.withColumn("range", F.col("max") - F.col("min")).withColumn("factor", F.col("size") / F.col("range"))
+    axes = axes.withColumn("range", F.col("max") - F.col("min")).withColumn("factor", F.try_divide(F.col("size").cast("double"), F.col("range")))
     one = Window.partitionBy()  # two rows
     return axes.withColumn("diag", F.sqrt(F.sum(F.pow(F.col("range") / F.col("size"), F.lit(2.0))).over(one)))
 
 
 def point_cells(y: DataFrame, g: int, frame: str = "grid", raster: dict | None = None) -> DataFrame:
-    """(id, cx, cy, cell). ``grid``: the frame of whole numbers around the points; ``raster``: the density's own bounds."""
+    """(id, cx, cy, cell). ``grid``: the frame of whole numbers around the points; ``raster``: the density's own bounds.
+
+    Along an axis on which the frame has no extent all points are in cell 0.
+    """
     if frame == "raster":
         fr = raster or raster_frame(y, g)
-        lo1, hi1, lo2, hi2 = (F.lit(fr[k]) for k in ("x0", "x1", "y0", "y1"))
+        lo1, hi1, lo2, hi2 = (F.lit(fr[k]).cast("double") for k in ("x0", "x1", "y0", "y1"))
     else:
         b = y.agg(F.floor(F.min("y1")).alias("a"), F.ceil(F.max("y1")).alias("b"), F.floor(F.min("y2")).alias("c"), F.ceil(F.max("y2")).alias("d")).first()
-        lo1, hi1, lo2, hi2 = (F.lit(float(v)) for v in b)
+        lo1, hi1, lo2, hi2 = (F.lit(None if v is None else float(v)).cast("double") for v in b)
     top = F.lit(g - 1)
-    cx, cy = F.floor((F.col("y1") - lo1) * (g / (hi1 - lo1))), F.floor((F.col("y2") - lo2) * (g / (hi2 - lo2)))
+    scale = [F.coalesce(F.try_divide(F.lit(float(g)), hi - lo), F.lit(0.0)) for lo, hi in ((lo1, hi1), (lo2, hi2))]
+    cx, cy = F.floor((F.col("y1") - lo1) * scale[0]), F.floor((F.col("y2") - lo2) * scale[1])
     d = y.select("id", F.least(cx, top).cast("int").alias("cx"), F.least(cy, top).cast("int").alias("cy"))
     return d.withColumn("cell", (F.col("cx") + F.col("cy") * g).cast("bigint"))
 

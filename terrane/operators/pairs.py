@@ -1,35 +1,75 @@
-"""Squared distances, ranks and neighbours.
+"""Squared distances, ranks and neighbours, of dense points, sparse points or a table of distances.
 
-All-pairs work is dealt out as blocks of points against blocks of points, so no task holds more than two blocks and
-nothing but a block is shipped; nearest neighbours keep the best of each block and merge.
+All-pairs work on points is dealt out as blocks of points against blocks of points, so no task holds more than two blocks
+and nothing but a block is shipped; nearest neighbours keep the best of each block and merge. Distances that are given
+as rows ``(i, j, sqdist)`` are ranked as they are.
+
+Points with a null vector, or a null in it, cannot be placed and are refused by name rather than inside a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLOCK = 2048
+BLOCK, SLAB = 2048, 1024
 
 
-def block_matrices(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(b, ids, flat, m): points gathered into blocks of about ``block`` by id hash, as one flat array each."""
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    dealt = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = F.sort_array(F.collect_list(F.struct("id", "x")))
+def kind_of(points: DataFrame) -> str:
+    """``dense`` (id, x array), ``sparse`` (id, x map) or ``distances`` (i, j, sqdist)."""
+    if "sqdist" in points.columns:
+        return "distances"
+    return "sparse" if isinstance(points.schema["x"].dataType, T.MapType) else "dense"
+
+
+def ids_of(points: DataFrame) -> DataFrame:
+    """(id) of points of any kind, each once."""
+    if kind_of(points) == "distances":
+        return points.select(F.col("i").alias("id")).unionByName(points.select(F.col("j").alias("id"))).distinct()
+    return points.select("id")
+
+
+def count_of(points: DataFrame) -> int:
+    return ids_of(points).count()
+
+
+def whole(points: DataFrame) -> DataFrame:
+    """``points``, failing with a message on the first one that has no place."""
+    if kind_of(points) == "dense":
+        bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull())
+    else:
+        bad = F.col("x").isNull() | F.exists(F.map_values("x"), lambda v: v.isNull())
+    return points.withColumn("x", F.when(~bad, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("point without a place: id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast(points.schema["x"].dataType)))
+
+
+def block_size(points: DataFrame, n: int, most: int = BLOCK) -> int:
+    """Points a block: at most ``most``, and fewer where so few blocks would leave cores without a pair."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return int(max(1, min(most, -(-n // max(1, round((2 * cores) ** 0.5))))))
+
+
+def block_matrices(points: DataFrame, blocks: int) -> DataFrame:
+    """(b, ids, sizes, keys, flat): points gathered into blocks by id hash, keys and values as one flat array each.
+
+    Keys are null for dense points, whose vectors all have the length ``sizes[0]``.
+    """
+    sparse = kind_of(points) == "sparse"
+    keys, values = (F.map_keys("x"), F.map_values("x")) if sparse else (F.lit(None).cast("array<int>"), F.col("x"))
+    dealt = whole(points).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "id", keys.alias("k"), values.alias("v"))
+    rows = F.sort_array(F.collect_list(F.struct("id", "k", "v")))
     packed = dealt.groupBy("b").agg(rows.alias("r"))
-    return packed.select("b", F.col("r.id").alias("ids"), F.flatten("r.x").alias("flat"), F.size(F.col("r")[0]["x"]).alias("m"))
+    return packed.select("b", F.col("r.id").alias("ids"), F.transform("r", lambda s: F.size(s["v"])).alias("sizes"), F.flatten("r.k").alias("keys"), F.flatten("r.v").alias("flat"))
 
 
-def block_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right`` (default: itself); rows are in blocks, not in points."""
-    right = left if right is None else right
-    r = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns])
-    n = F.lit(1)
-    return left.withColumn("k", n).join(r.withColumn("k2", n), F.col("k") == F.col("k2")).drop("k", "k2")
+def block_pairs(left: DataFrame, right: DataFrame, blocks: int, half: bool = False) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right`` (``half``: of each two blocks one order), joined by block number."""
+    spark = left.sparkSession
+    pairs = spark.range(blocks * blocks).select(F.expr(f"cast(id div {blocks} as int)").alias("b"), F.pmod("id", F.lit(blocks)).cast("int").alias("b2"))
+    pairs = pairs.where("b <= b2") if half else pairs
+    return pairs.join(left, "b").join(right.select(*[F.col(c).alias(f"{c}2") for c in right.columns]), "b2")
 
 
 def _matrix(flat, m: int) -> np.ndarray:
@@ -45,40 +85,84 @@ def sqdist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def sparse_block(a: tuple, b: tuple) -> np.ndarray:
+    """Squared distances of sparse rows (sizes, keys, values): |a|^2 + |b|^2 - 2 a.b, over ``SLAB`` keys at a time."""
+    rows, norms = [], []
+    for sizes, keys, values in (a, b):
+        row, values = np.repeat(np.arange(len(sizes)), sizes), np.asarray(values, dtype=float)
+        rows.append((row, np.asarray(keys, dtype=np.int64), values))
+        norms.append(np.bincount(row, values**2, len(sizes)))
+    used = np.intersect1d(rows[0][1], rows[1][1])
+    dot = np.zeros((len(a[0]), len(b[0])))
+    for at in range(0, len(used), SLAB):
+        some, parts = used[at : at + SLAB], []
+        for (row, keys, values), n in zip(rows, dot.shape):
+            place = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+            hit = some[place] == keys
+            part = np.zeros((n, len(some)))
+            np.add.at(part, (row[hit], place[hit]), values[hit])
+            parts.append(part)
+        dot += parts[0] @ parts[1].T
+    return np.maximum(norms[0][:, None] + norms[1][None, :] - 2 * dot, 0)
+
+
+def _distances(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both blocks of a pair and their squared distances."""
+    if r.keys is None:
+        return np.asarray(r.ids), np.asarray(r.ids2), sqdist(_matrix(r.flat, r.sizes[0]), _matrix(r.flat2, r.sizes2[0]))
+    return np.asarray(r.ids), np.asarray(r.ids2), sparse_block((r.sizes, r.keys, r.flat), (r.sizes2, r.keys2, r.flat2))
+
+
 def pair_sqdist(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, sqdist) for i < j."""
-    pairs = block_pairs(block_matrices(points, block)).where("b <= b2")
+    if kind_of(points) == "distances":
+        return points.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sqdist").dropDuplicates(["i", "j"])
+    n = points.count()
+    blocks = max(1, -(-n // block_size(points, n, block)))
+    packed = block_matrices(points, blocks)
 
     def run(frames):
         for f in frames:
             for r in f.itertuples(index=False):
-                i, j = np.asarray(r.ids), np.asarray(r.ids2)
-                d = sqdist(_matrix(r.flat, r.m), _matrix(r.flat2, r.m2))
+                i, j, d = _distances(r)
                 first, second = np.broadcast_arrays(i[:, None], j[None, :])
                 keep = first < second if r.b == r.b2 else first != second
                 yield pd.DataFrame({"i": np.minimum(first, second)[keep], "j": np.maximum(first, second)[keep], "sqdist": d[keep]})
 
-    return pairs.mapInPandas(run, "i bigint, j bigint, sqdist double")
+    return block_pairs(packed, packed, blocks, half=True).mapInPandas(run, "i bigint, j bigint, sqdist double")
 
 
-def nearest(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(i, j, sqdist, rank): the ``k`` nearest of each point, itself (rank 1 at distance 0) included; ties go by id.
+def nearest(points: DataFrame, k: int, block: int = BLOCK, of: DataFrame | None = None, self_first: bool = True) -> DataFrame:
+    """(i, j, sqdist, rank): the ``k`` nearest of each point, or of each of the points ``of``, itself included; ties go by id.
 
-    Each block pair gives at most ``k`` rows a point; the ranking merges them.
+    The point itself is at distance 0 and comes first, with ``self_first`` also before others at that distance. Each block
+    pair gives at most ``k`` rows a point; the ranking merges them.
     """
-    pairs = block_pairs(block_matrices(points, block))
+    order = [F.col("sqdist"), *([F.col("i") != F.col("j")] if self_first else []), F.col("j")]
+    best = Window.partitionBy("i").orderBy(*order)
+    if kind_of(points) == "distances":
+        both = pair_sqdist(points)
+        own = ids_of(points).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("sqdist"))
+        found = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "sqdist")).unionByName(own)
+        found = found if of is None else found.join(ids_of(of).select(F.col("id").alias("i")), "i", "left_semi")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    n = points.count()
+    blocks = max(1, -(-n // block_size(points, n, block)))
+    right = block_matrices(points, blocks)
+    left = right if of is None else block_matrices(of, blocks)
 
     def run(frames):
         for f in frames:
             for r in f.itertuples(index=False):
-                i, j = np.asarray(r.ids), np.asarray(r.ids2)
-                d = sqdist(_matrix(r.flat, r.m), _matrix(r.flat2, r.m2))
-                # Ids rise within a block, so a stable sort breaks ties by id.
+                i, j, d = _distances(r)
+                # Ids rise within a block, so a stable sort breaks ties by id; the point itself must not be cut off.
+                if self_first:
+                    d = np.where(i[:, None] == j[None, :], -1.0, d)
                 order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"i": np.repeat(i, order.shape[1]), "j": j[order].ravel(), "sqdist": np.take_along_axis(d, order, 1).ravel()})
+                yield pd.DataFrame({"i": np.repeat(i, order.shape[1]), "j": j[order].ravel(), "sqdist": np.maximum(np.take_along_axis(d, order, 1), 0).ravel()})
 
-    best = Window.partitionBy("i").orderBy("sqdist", F.col("i") != F.col("j"), "j")
-    return pairs.mapInPandas(run, "i bigint, j bigint, sqdist double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = block_pairs(left, right, blocks).mapInPandas(run, "i bigint, j bigint, sqdist double")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def q_nn(n: int, ppx: int, xppx: float = 3.0) -> int:
@@ -99,34 +183,46 @@ def within_bound(points: DataFrame, q: int, size: int) -> DataFrame:
 
 
 def sparse_sqdist(points: DataFrame) -> DataFrame:
-    """(i, j, sqdist) for i < j of ``(id, x map<int,double>)``: |a|^2 + |b|^2 - 2 a.b, joined on shared keys alone."""
-    long = points.select("id", F.explode("x").alias("k", "v"))
-    norm = points.select("id", F.aggregate(F.map_values("x"), F.lit(0.0), lambda a, v: a + v * v).alias("n2"))
-    a, b = long.toDF("i", "k", "u"), long.toDF("j", "k", "w")
-    dots = a.join(b, "k").where("i < j").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
-    ids = norm.toDF("i", "ni").join(norm.toDF("j", "nj"), F.col("i") < F.col("j"))
-    return ids.join(dots, ["i", "j"], "left").select("i", "j", (F.col("ni") + F.col("nj") - 2 * F.coalesce("dot", F.lit(0.0))).alias("sqdist"))
+    """(i, j, sqdist) for i < j of ``(id, x map<int,double>)``, by blocks like dense ones."""
+    return pair_sqdist(points)
+
+
+def over(value: Column, by: Column) -> Column:
+    """A quotient that is 0 where all values are 0, as when data do not vary."""
+    return F.coalesce(F.try_divide(value, by), F.lit(0.0))
 
 
 def center_scale(points: DataFrame) -> DataFrame:
-    """Each feature less its mean, then everything divided by the one largest absolute value."""
+    """Each feature less its mean, then everything divided by the one largest absolute value; constant data become 0."""
     long = points.select("id", F.posexplode("x").alias("dim", "v"))
     means = long.groupBy("dim").agg(F.avg("v").alias("mean"))
-    centred = long.join(means, "dim").select("id", "dim", (F.col("v") - F.col("mean")).alias("v"))
+    centred = long.join(F.broadcast(means), "dim").select("id", "dim", (F.col("v") - F.col("mean")).alias("v"))  # a row a feature
     top = centred.agg(F.max(F.abs("v")).alias("top"))
-    return centred.join(F.broadcast(top)).select("id", "dim", (F.col("v") / F.col("top")).alias("v"))
+    return centred.join(F.broadcast(top)).select("id", "dim", over(F.col("v"), F.col("top")).alias("v"))
+
+
+def normalised(points: DataFrame) -> DataFrame:
+    """Points of any kind, scaled: dense ones centred too, sparse ones and distances divided by the largest."""
+    kind = kind_of(points)
+    if kind == "distances":
+        top = points.agg(F.max("sqdist").alias("top"))
+        return points.join(F.broadcast(top)).select("i", "j", over(F.col("sqdist"), F.col("top")).alias("sqdist"))
+    if kind == "sparse":
+        return scale_sparse(points)
+    listed = F.array_sort(F.collect_list(F.struct("dim", "v")))
+    return center_scale(points).groupBy("id").agg(F.transform(listed, lambda s: s["v"]).alias("x"))
 
 
 def scale_distances(pairs: DataFrame) -> DataFrame:
     """Distances divided by the largest; they are not centred."""
     top = pairs.agg(F.max(F.abs("d")).alias("top"))
-    return pairs.join(F.broadcast(top)).withColumn("d", F.col("d") / F.col("top")).drop("top")
+    return pairs.join(F.broadcast(top)).withColumn("d", over(F.col("d"), F.col("top"))).drop("top")
 
 
 def scale_sparse(points: DataFrame) -> DataFrame:
     """Values of sparse points divided by the largest absolute value; keys stay."""
     top = points.agg(F.max(F.array_max(F.transform(F.map_values("x"), F.abs))).alias("top"))
-    return points.join(F.broadcast(top)).select("id", F.transform_values("x", lambda k, v: v / F.col("top")).alias("x"))
+    return points.join(F.broadcast(top)).select("id", F.transform_values("x", lambda k, v: over(v, F.col("top"))).alias("x"))
 
 
 def label_factor(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -12,7 +12,10 @@ from .pairs import _matrix
 
 def _moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, covariance): one small matrix of sums from each partition."""
-    m = points.select(F.size("x").alias("m")).first()["m"]
+    head = points.select(F.size("x").alias("m")).first()
+    if head is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    m = head["m"]
 
     def run(frames):
         n, s, ss = 0, np.zeros(m), np.zeros((m, m))
@@ -26,14 +29,16 @@ def _moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     for r in rows.toLocalIterator():
         n, s, ss = n + r["n"], s + np.array(r["s"]), ss + _matrix(r["ss"], m)
     mean = s / n
-    return n, mean, (ss - n * np.outer(mean, mean)) / (n - 1)
+    return n, mean, (ss - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
 def whiten(points: DataFrame, how: int, dims: int | None = None) -> DataFrame:
     """(id, x): 0 first ``dims`` columns, 1 centred, 2 z-scores, 3 principal components, 4 those with unit variance."""
     if how == 0:
         return points.select("id", F.slice("x", 1, dims).alias("x") if dims else F.col("x"))
-    _, mean, cov = _moments(points)
+    n, mean, cov = _moments(points)
+    if not n:
+        return points.select("id", "x")
     if how in (1, 2):
         sd = np.sqrt(np.diag(cov)) if how == 2 else np.ones(len(mean))
         if not sd.all():

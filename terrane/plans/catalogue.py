@@ -39,8 +39,8 @@ def y_points(spark, sf) -> DataFrame:
 
 
 def part_points(spark, sf, scaled: bool) -> DataFrame:
-    """A thousand distinct (size, price) points, the first by key."""
-    p = table(spark, sf, "part").groupBy("p_size", "p_retailprice").agg(F.min("p_partkey").alias("id")).orderBy("id").limit(1000)
+    """The distinct (size, price) points, each by its least key."""
+    p = table(spark, sf, "part").groupBy("p_size", "p_retailprice").agg(F.min("p_partkey").alias("id"))
     x = F.array(F.col("p_size").cast("double"), F.col("p_retailprice"))
     if scaled:
         top = p.agg(F.greatest(F.max("p_size").cast("double"), F.max("p_retailprice")).alias("m"))
@@ -141,6 +141,29 @@ def beta_calibration_raw(spark, sf):
     return r6(calibration.calibrate(part_points(spark, sf, False), PPX).select("id", "beta", "lq"), "beta", "lq")
 
 
+def _y_distances(spark, sf) -> DataFrame:
+    """The distances of the layout's points as a table of pairs."""
+    return sources.from_distances(pairs.pair_sqdist(y_points(spark, sf)).select("i", "j", F.sqrt("sqdist").alias("d")))
+
+
+def beta_calibration_distance(spark, sf):
+    return r6(calibration.calibrate(_y_distances(spark, sf), PPX).select("id", "beta", "lq"), "beta", "lq", digits=5)
+
+
+def beta_calibration_sparse(spark, sf):
+    return r6(calibration.calibrate(_sparse(spark, sf), PPX).select("id", "beta", "lq"), "beta", "lq", digits=5)
+
+
+def global_affinity_sparse(spark, sf):
+    points = _sparse(spark, sf)
+    b = points.select("id", F.lit(2.0).alias("beta"), F.lit(3.0).alias("znorm"))
+    return r6(layout.global_affinities(points, b, PPX), "p", digits=7)
+
+
+def normalised_distances(spark, sf):
+    return r6(pairs.normalised(_y_distances(spark, sf)), "sqdist", digits=5)
+
+
 def beta_many_perplexities(spark, sf):
     return r6(calibration.calibrate(x_of(spark, sf), [5, 10, 30]).select(F.col("id").alias("vec_id"), "ppx", "beta"), "beta")
 
@@ -159,33 +182,37 @@ def layout_start(spark, sf):
     return r6(layout.initial(x_of(spark, sf), 2, 7), "y1", "y2")
 
 
-def _chunk(spark, sf):
-    """Sixty points as one chunk: ids, places, picked partners, affinities."""
+CHUNK = "i bigint, j bigint, p double, dy1 double, dy2 double, cost double"
+
+
+def _chunk(spark, sf) -> DataFrame:
+    """All points as one chunk on one worker: a row for each picked partner, with the gradient of i and the cost of all."""
     import numpy as np
+    import pandas as pd
 
-    first = F.col("id") < 60
-    rows = x_of(spark, sf).where(first).join(y_of(spark, sf).select("id", "y1", "y2"), "id").orderBy("id").collect()
-    x = np.array([r["x"] for r in rows])
-    sq = pairs.sqdist(x, x)
-    pick, p = kernels.affinities(sq, np.full(len(x), 2.0), np.full(len(x), 3.0), 20)
-    return [r["id"] for r in rows], np.array([[r["y1"], r["y2"]] for r in rows]) / 10, pick, p
+    rows = x_of(spark, sf).join(y_of(spark, sf).select("id", "y1", "y2"), "id")
+
+    def run(f):
+        f = f.sort_values("id", ignore_index=True)
+        x, y = np.stack(f["x"].to_numpy()), f[["y1", "y2"]].to_numpy() / 10
+        pick, p = kernels.affinities(pairs.sqdist(x, x), np.full(len(x), 2.0), np.full(len(x), 3.0), 20)
+        g, c, ids, each = kernels.gradient(y, pick, p), kernels.cost(y, pick, p), f["id"].to_numpy(), pick.shape[1]
+        return pd.DataFrame({"i": np.repeat(ids, each), "j": ids[pick.ravel()], "p": p.ravel(), "dy1": np.repeat(g[:, 0], each), "dy2": np.repeat(g[:, 1], each), "cost": c})
+
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, CHUNK)
 
 
 def local_affinity(spark, sf):
-    ids, _, pick, p = _chunk(spark, sf)
-    rows = [(ids[i], ids[int(j)], float(v)) for i in range(len(ids)) for j, v in zip(pick[i], p[i])]
-    return r6(spark.createDataFrame(rows, "i bigint, j bigint, p double"), "p", digits=9)
+    return r6(_chunk(spark, sf).select("i", "j", "p"), "p", digits=9)
 
 
 def tsne_one_step(spark, sf):
-    ids, y, pick, p = _chunk(spark, sf)
-    g = kernels.gradient(y, pick, p)
-    return r6(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, g)], "id bigint, dy1 double, dy2 double"), "dy1", "dy2", digits=9)
+    g = _chunk(spark, sf).groupBy(F.col("i").alias("id")).agg(F.first("dy1").alias("dy1"), F.first("dy2").alias("dy2"))
+    return r6(g, "dy1", "dy2", digits=9)
 
 
 def tsne_cost(spark, sf):
-    _, y, pick, p = _chunk(spark, sf)
-    return r6(spark.createDataFrame([(kernels.cost(y, pick, p),)], "cost double"), "cost")
+    return r6(_chunk(spark, sf).select("cost").distinct(), "cost")
 
 
 def global_affinity(spark, sf):
@@ -375,6 +402,32 @@ def mtsne_map(spark, sf):
     return layout.mtsne(x_of(spark, sf), _betas(spark, sf), PPX, iters=20, theta=0.0, seed=3).y
 
 
+def mtsne_tree_map(spark, sf):
+    """The same with repulsion by a quadtree."""
+    return layout.mtsne(x_of(spark, sf), _betas(spark, sf), PPX, iters=20, theta=0.5, seed=3).y
+
+
+def ptsne_distance_map(spark, sf):
+    d = _y_distances(spark, sf)
+    return layout.ptsne(d, checkpointed(calibration.calibrate(d, PPX)), PPX, epochs=2, seed=3).y
+
+
+def ptsne_sparse_map(spark, sf):
+    points = _sparse(spark, sf)
+    return layout.ptsne(points, checkpointed(calibration.calibrate(points, PPX)), PPX, epochs=2, seed=3).y
+
+
+def covariate_maps(spark, sf):
+    return covariates.covariate_maps(table(spark, sf, "part").withColumnRenamed("p_partkey", "key"), "key", ["p_size", "p_retailprice"])
+
+
+def neighbour_check(spark, sf):
+    """Of all points: how many picked affinities are positive, and their sum."""
+    x = x_of(spark, sf)
+    b = x.select("id", F.lit(2.0).alias("beta"), F.lit(3.0).alias("znorm"))
+    return r6(layout.neighbour_check(x, b, 20, x.count()), "total", digits=9)
+
+
 def full_pipeline(spark, sf):
     """Clusters of the deterministic layout: points, and the density at the peak."""
     raster, c, labels = _clustered(spark, sf)
@@ -388,6 +441,7 @@ QUERIES = {
     for f in (
         full_pipeline, pair_sqdist, nn_quantile, knn_rank, neighbour_bound, sparse_sqdist, distance_source, center_scale, label_factor, label_factor_brand, source_shape,
         whiten_centre, whiten_zscore, column_prune, pca_variances, pca_whitened, entropy_at_beta, beta_calibration, beta_calibration_feat, beta_calibration_raw,
+        beta_calibration_distance, beta_calibration_sparse, global_affinity_sparse, normalised_distances, mtsne_tree_map, ptsne_distance_map, ptsne_sparse_map, covariate_maps, neighbour_check,
         beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
         raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
         cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,

@@ -79,7 +79,7 @@ def calibrated(head: str, ppx: int, q: str) -> str:
     cal AS (SELECT id, beta, lq, list_sum(list_transform(l, lambda d: exp(-beta * d))) - 1 AS z FROM last JOIN base USING (id))"""
 
 
-PART = """p AS (SELECT p_size::DOUBLE AS s, p_retailprice AS t, min(p_partkey) AS id FROM part GROUP BY p_size, p_retailprice ORDER BY id LIMIT 1000)"""
+PART = """p AS (SELECT p_size::DOUBLE AS s, p_retailprice AS t, min(p_partkey) AS id FROM part GROUP BY p_size, p_retailprice)"""
 PART_X = {False: f"{PART}, x AS (SELECT id, [s, t] AS x FROM p)", True: f"{PART}, x AS (SELECT id, [s / m, t / m] AS x FROM p, (SELECT greatest(max(s), max(t)) AS m FROM p))"}
 
 
@@ -89,13 +89,20 @@ def part_near(scaled: bool) -> str:
 
 PART_Q = "least(91, (SELECT count(*) FROM p) - 1)"
 EMB_Q = "least({}, (SELECT count(*) FROM embeddings) - 1)"
-CHUNK = f"""{DIST}, {Y}, k AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE exp(-2.0 * sqdist) / 3.0 END AS k FROM dist WHERE i < 60 AND j < 60),
+CHUNK = f"""{DIST}, {Y}, k AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE exp(-2.0 * sqdist) / 3.0 END AS k FROM dist),
 mutual AS (SELECT a.i, a.j, a.k AS kij, b.k AS kji, row_number() OVER (PARTITION BY a.i ORDER BY a.k + b.k DESC, a.j) AS rank FROM k a JOIN k b ON a.i = b.j AND a.j = b.i WHERE a.i <> a.j),
 pick AS (SELECT * FROM mutual WHERE rank <= 20), tot AS (SELECT i, sum(kij) AS n FROM pick GROUP BY i),
-aff AS (SELECT p.i, p.j, 0.5 / 60 * (kij / t.n + kji / u.n) AS p FROM pick p JOIN tot t ON t.i = p.i JOIN tot u ON u.i = p.j),
-z AS (SELECT id, y1 / 10 AS y1, y2 / 10 AS y2 FROM y WHERE id < 60),
+aff AS (SELECT p.i, p.j, 0.5 / (SELECT count(*) FROM x) * (kij / t.n + kji / u.n) AS p FROM pick p JOIN tot t ON t.i = p.i JOIN tot u ON u.i = p.j),
+z AS (SELECT id, y1 / 10 AS y1, y2 / 10 AS y2 FROM y),
 q AS (SELECT a.id AS i, b.id AS j, a.y1 - b.y1 AS d1, a.y2 - b.y2 AS d2, 1 / (1 + power(a.y1 - b.y1, 2) + power(a.y2 - b.y2, 2)) AS q FROM z a JOIN z b ON a.id <> b.id)"""
 RANKS = f"""{DIST}, {Y}, ydist AS (SELECT a.id AS i, b.id AS j, power(a.y1 - b.y1, 2) + power(a.y2 - b.y2, 2) AS sqdist FROM y a, y b)"""
+YNEAR = f"""{Y}, dist AS (SELECT a.id AS i, b.id AS j, power(a.y1 - b.y1, 2) + power(a.y2 - b.y2, 2) AS sqdist FROM y a, y b),
+near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sqdist, i <> j, j) AS rank FROM dist)"""
+#: Of each point the five entries of greatest absolute value, all others 0.
+SPARSE = f"""x0 AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+o AS (SELECT id, unnest(range(len(x)))::INT AS dim, unnest(x) AS v FROM x0), t AS (SELECT id, dim, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY -abs(v), dim) <= 5 THEN v ELSE 0 END AS v FROM o),
+x AS (SELECT id, list(v ORDER BY dim) AS x FROM t GROUP BY id), dist AS (SELECT a.id AS i, b.id AS j, {SQ} AS sqdist FROM x a, x b),
+near AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sqdist, i <> j, j) AS rank FROM dist)"""
 KNP = f"""{RANKS}, n AS (SELECT count(*) AS n FROM x), top AS (SELECT log2(n - 5) AS t, n FROM n),
 ks AS (SELECT DISTINCT ceil(power(2, 1 + s * ((t - 1) / 99)))::INT AS k FROM top, range(99) r(s) UNION SELECT ceil(power(2, t))::INT FROM top),
 rx AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sqdist, j) AS rx FROM dist), ry AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sqdist, j) AS ry FROM ydist),
@@ -125,13 +132,22 @@ ORACLES: dict[str, str] = {
     "beta_calibration": "WITH RECURSIVE " + calibrated(NEAR, PPX, EMB_Q.format(91)) + f" SELECT id AS vec_id, {r('beta')} AS beta, {r('2 * z')} AS znorm, {r('lq')} AS lq FROM cal",
     "beta_calibration_feat": "WITH RECURSIVE " + calibrated(part_near(True), PPX, PART_Q) + f" SELECT id, {r('beta', 4)} AS beta, {r('lq', 4)} AS lq FROM cal",
     "beta_calibration_raw": "WITH RECURSIVE " + calibrated(part_near(False), PPX, PART_Q) + f" SELECT id, {r('beta')} AS beta, {r('lq')} AS lq FROM cal",
+    "beta_calibration_distance": "WITH RECURSIVE " + calibrated(YNEAR, PPX, EMB_Q.format(91)) + f" SELECT id, {r('beta', 5)} AS beta, {r('lq', 5)} AS lq FROM cal",
+    "beta_calibration_sparse": "WITH RECURSIVE " + calibrated(SPARSE, PPX, EMB_Q.format(91)) + f" SELECT id, {r('beta', 5)} AS beta, {r('lq', 5)} AS lq FROM cal",
+    "beta_many_perplexities": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {calibrated(NEAR, p, EMB_Q.format(3 * p + 1))} SELECT id AS vec_id, {p}::INT AS ppx, {r('beta')} AS beta FROM cal)" for p in (5, 10, 30)),
+    "normalised_distances": f"WITH {YNEAR} SELECT i, j, {r('sqdist / (SELECT max(sqdist) FROM dist)', 5)} AS sqdist FROM dist WHERE i < j",
+    "global_affinity_sparse": f"WITH {SPARSE} SELECT i, j, {r('2 * exp(-2.0 * sqdist) / 3.0', 7)} AS p FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY j) AS k FROM near WHERE rank <= {Q + 1} AND i <> j) WHERE k <= 90",
+    "neighbour_check": f"WITH {CHUNK} SELECT i AS id, count(*) FILTER (p > 0) AS positive, {r('sum(p)', 9)} AS total FROM aff GROUP BY i",
+    "covariate_maps": f"SELECT key, 'p_size' AS var, level FROM ({levels('p_partkey', 'p_size', 'part')}) UNION ALL SELECT key, 'p_retailprice', level FROM ({levels('p_partkey', 'p_retailprice', 'part')})",
+    "precision_levels": f"""WITH RECURSIVE {calibrated(NEAR, PPX, EMB_Q.format(91))}, v AS (SELECT id AS key, round(beta, 9) AS v FROM cal), q AS (SELECT quantile_cont(v, [{", ".join(str(i / 8) for i in range(1, 8))}]) AS q FROM v)
+        SELECT key AS vec_id, (1 + len(list_filter(q, lambda c: c < v)))::INT AS level FROM v, q""",
     "embed_scheme": f"WITH n AS (SELECT count(*) AS n, count(*) * 2 / 4 AS z FROM embeddings) SELECT n, z::DOUBLE AS z, round_even(least(3.0 * {PPX} * 2 / 4, z - 1), 0)::INT AS nn, floor(4 * ln(n))::INT AS epochs, ceil(4 * ln(z))::INT AS iters FROM n",
     "chunk_assignment": f"WITH c AS (SELECT vec_id AS id, floor({draw(chr(39) + '7:1' + chr(39), 'vec_id::VARCHAR')} * 4)::INT AS c FROM embeddings) SELECT ((c - l + 4) % 4)::INT AS worker, (l + 1)::INT AS layer, id FROM c, range(2) r(l)",
     "layout_start": f"WITH d AS (SELECT vec_id AS id, (l + 1)::INT AS layer, sqrt({draw(chr(39) + '7r' + chr(39), 'vec_id::VARCHAR', '(l + 1)::VARCHAR')}) * sqrt(0.5) / 2 AS r, 2 * pi() * {draw(chr(39) + '7a' + chr(39), 'vec_id::VARCHAR', '(l + 1)::VARCHAR')} AS a FROM embeddings, range(2) t(l)) SELECT id, layer, {r('r * cos(a)')} AS y1, {r('r * sin(a)')} AS y2 FROM d",
     "local_affinity": f"WITH {CHUNK} SELECT i, j, {r('p', 9)} AS p FROM aff",
     "tsne_one_step": f"""WITH {CHUNK}, a AS (SELECT q.i, sum(p * q * d1) / (SELECT sum(p) FROM aff) AS a1, sum(p * q * d2) / (SELECT sum(p) FROM aff) AS a2 FROM q JOIN aff USING (i, j) GROUP BY q.i),
         b AS (SELECT i, sum(q * q * d1) / (SELECT sum(q) FROM q) AS b1, sum(q * q * d2) / (SELECT sum(q) FROM q) AS b2 FROM q GROUP BY i) SELECT i AS id, {r('a1 - b1', 9)} AS dy1, {r('a2 - b2', 9)} AS dy2 FROM a JOIN b USING (i)""",
-    "tsne_cost": f"WITH {CHUNK} SELECT {r('((SELECT sum(p * ln(1 / q)) / sum(p) FROM q JOIN aff USING (i, j)) + ln((SELECT sum(q) FROM q))) / ln(60 * 59.0)')} AS cost",
+    "tsne_cost": f"WITH {CHUNK} SELECT {r('((SELECT sum(p * ln(1 / q)) / sum(p) FROM q JOIN aff USING (i, j)) + ln((SELECT sum(q) FROM q))) / ln((SELECT count(*) * (count(*) - 1.0) FROM x))')} AS cost",
     "global_affinity": f"WITH {NEAR} SELECT i, j, {r('2 * exp(-2.0 * sqdist) / 3.0', 9)} AS p FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY j) AS k FROM near WHERE rank <= {Q + 1} AND i <> j) WHERE k <= 90",
     "embedding_size": f"WITH {Y} SELECT {r('sqrt(power(max(y1) - min(y1), 2) + power(max(y2) - min(y2), 2))')} AS size FROM y",
     "layer_average": f"WITH {Y} SELECT id, {r('(y1 + y2) / 2')} AS y1, {r('(y1 + y2) / 2')} AS y2 FROM y",
@@ -163,7 +179,7 @@ ORACLES: dict[str, str] = {
     "quantile_levels_few": "WITH d AS (SELECT v, round_even(row_number() OVER (ORDER BY v) * 8 / (count(*) OVER ()), 0)::INT AS level FROM (SELECT DISTINCT l_linenumber AS v FROM lineitem)) SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS key, level FROM lineitem JOIN d ON v = l_linenumber",
     "quantile_levels_events": levels("event_id", "value", "events"),
     "box_stats": boxes("WITH", "customer", "c_mktsegment", "c_acctbal", "g AS grp"),
-    "box_stats_clusters": boxes(f"WITH RECURSIVE {POINTS}, {LONG}, b AS (SELECT cluster, dim, v FROM long JOIN labels USING (id) WHERE dim < 4 AND cluster <= 25),", "b", "(cluster, dim)", "v", "g[1] AS cluster, g[2] AS dim"),
+    "box_stats_clusters": boxes(f"WITH RECURSIVE {POINTS}, {LONG}, b AS (SELECT cluster, dim, v FROM long JOIN labels USING (id) WHERE dim < 4),", "b", "(cluster, dim)", "v", "g[1] AS cluster, g[2] AS dim"),
     "knp_curve": f"WITH {KNP} SELECT k, {r('q')} AS q, {r('r')} AS r FROM curve",
     "knp_auc": f"WITH {KNP} SELECT {r('sum(r * dk) / max(k)')} AS lin_auc, {r('sum(r / log10(k)) / sum(1 / log10(k))')} AS log_auc FROM (SELECT k, r, k - lag(k, 1, 1) OVER (ORDER BY k) AS dk FROM curve)",
     "hl_correlation": f"WITH {RANKS} SELECT {r('avg(c)')} AS mean_r FROM (SELECT i, corr(a.sqdist, b.sqdist) AS c FROM dist a JOIN ydist b USING (i, j) GROUP BY i)",
