@@ -168,11 +168,12 @@ def without(docs: DataFrame, keys: DataFrame, on: list[Column]) -> DataFrame:
     return left.join(right, same, "left_anti").drop(*names)
 
 
-def linked_groups(scratch: Scratch, keyed: DataFrame, texts, verify, likely=lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
+def linked_groups(scratch: Scratch, keyed: DataFrame, texts, verify, likely=lambda pairs: pairs, attrs: tuple[str, ...] = (), close: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Connected groups of the rows of ``keyed(key, id)``, distinct rows of two longs, that share a key and are verified.
 
     ``texts(ids)`` gives what a comparison needs of some ids, ``verify(pairs, texts)`` takes pairs (u, v) to those
-    that are links, and ``likely(pairs)`` may leave some out beforehand, without texts. Returns (node, root) for linked ids, root the least of its group, and the written texts.
+    that are links, and ``likely(pairs)`` may leave some out beforehand, without texts. ``close`` does so within the join of a key's members, by the columns
+    ``attrs`` of the texts of one and the same with ``o_`` in front of the other. Returns (node, root) for linked ids, root the least of its group, and the written texts.
 
     All members of a key are compared with its least member. Then groups are formed, and in keys whose members are
     not yet of one group the least member of each group is compared with all members of the others; last, what is
@@ -208,15 +209,22 @@ def linked_groups(scratch: Scratch, keyed: DataFrame, texts, verify, likely=lamb
     rest = labelled(met.where("n > 2").select("key", "id", "rep"))
     if rest.isEmpty():
         return done()
-    heads = rest.groupBy("key", "label").agg(F.min("id").alias("other")).select("key", "other", F.col("label").alias("of"))
+    known = have.select("id", *attrs)
+    near = close if close is not None else F.lit(True)
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "id") if attrs else rows
+
+    def others(rows: DataFrame) -> DataFrame:
+        return told(rows).select("key", F.col("id").alias("other"), F.col("label").alias("of"), *[F.col(a).alias(f"o_{a}") for a in attrs])
+
+    heads = scratch.write(rest.groupBy("key", "label").agg(F.min("id").alias("id")))
     # The least member of the key was compared with all.
-    heads = scratch.write(heads)
-    pairs = rest.join(heads, "key").where("label <> of and id <> rep and other <> rep")
+    pairs = told(rest.where("id <> rep")).join(others(heads.join(rest.select("key", "rep").distinct(), "key").where("id <> rep")), "key").where(F.expr("label <> of") & near)
     found.append(links(pairs))
-    tested = heads.select("key", F.col("other").alias("id"))
+    tested = heads.select("key", "id")
     last = labelled(rest.where("id <> rep").select("key", "id").join(tested, ["key", "id"], "left_anti"))
     if not last.isEmpty():
-        others = last.select("key", F.col("id").alias("other"), F.col("label").alias("of"))
-        found.append(links(last.join(others, "key").where("label < of")))
+        found.append(links(told(last).join(others(last), "key").where(F.expr("label < of") & near)))
     scratch.drop(rest, heads, last)
     return done()

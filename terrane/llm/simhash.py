@@ -23,11 +23,11 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, beside, components, free, linked_groups, masked, small, text_key, without
-from .wordhash import Words, blocks
+from .wordhash import Words, blocks, mix
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -130,6 +130,8 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
 
 
 VALUES, BANDS, ROWS, NEAR = 128, 40, 8, 2
+#: One bit of each of 1024 other MinHash values, as sixteen longs; texts of similarity 0.8 differ in 102, with a deviation of 10.
+BIT_COLUMNS, MOST_BITS = tuple(f"s{i}" for i in range(16)), 134
 
 
 @functools.cache
@@ -140,19 +142,39 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return factors | np.uint64(1), addends, np.array([rng.choice(VALUES, ROWS, replace=False) for _ in range(BANDS)])
 
 
+def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """SimHash fingerprint and MinHash values of a text from the hashes of its shingles."""
+    factors, addends, _ = _draws()
+    votes, least = np.zeros(BITS, dtype=np.int64), np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        some = shingles[at : at + 4096]
+        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (some[:, None] * factors + addends).min(axis=0))
+    return int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big"), least
+
+
+@functools.cache
+def _probes() -> tuple[np.ndarray, np.ndarray]:
+    factors, addends = np.random.default_rng(43).integers(0, 1 << 63, (2, 64 * len(BIT_COLUMNS)), dtype=np.uint64)
+    return factors | np.uint64(1), addends
+
+
+def near_bits(shingles: np.ndarray) -> list[int]:
+    """One bit of each of many MinHash values."""
+    factors, addends = _probes()
+    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, (shingles[at : at + 512, None] * factors + addends).min(axis=0))
+    return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
 def near_keys(shingles: np.ndarray, radius: int = NEAR) -> np.ndarray:
     """The buckets of a text from the hashes of its shingles.
 
     First those of its fingerprint under the covering masks, in which any two texts within ``radius`` bits meet; then
     ``BANDS`` of ``ROWS`` MinHash values each, since texts of similarity 0.8 are mostly more bits apart than that.
     """
-    factors, addends, bands = _draws()
-    votes, least = np.zeros(BITS, dtype=np.int64), np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 4096):
-        some = shingles[at : at + 4096]
-        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        least = np.minimum(least, (some[:, None] * factors + addends).min(axis=0))
-    fp = int.from_bytes(np.packbits(2 * votes > len(shingles)).tobytes(), "big")
+    bands, (fp, least) = _draws()[2], sketch(shingles)
     keys = [xxhash.xxh64_intdigest((fp & m & (1 << BITS) - 1).to_bytes(8, "big"), seed=1000 + t) for t, m in enumerate(masks(radius))]
     keys += [xxhash.xxh64_intdigest(least[b].tobytes(), seed=i) for i, b in enumerate(bands)]
     return np.array(keys, dtype=np.uint64).view(np.int64)
@@ -169,34 +191,36 @@ def shingle_hashes(texts: list[str | None], width: int):
             yield runs[n][a : b - n + 1] if n else np.zeros(1, np.uint64)
 
 
-def key_table(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """``keep`` and ``keys``; texts stream through in Arrow batches."""
+def hashed(docs: DataFrame, keep: list[str], width: int, of, name: str) -> DataFrame:
+    """``keep`` and ``name``, the longs that ``of`` makes of a text's shingles; texts stream through in Arrow batches."""
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches):
         for b in batches:
-            keys = [near_keys(h).tolist() for h in shingle_hashes(b.column("text").to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(keys, pa.list_(pa.int64()))], names=[*keep, "keys"])
+            longs = [list(map(int, of(h))) for h in shingle_hashes(b.column("text").to_pylist(), width)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(longs, pa.list_(pa.int64()))], names=[*keep, name])
 
-    schema = docs.select(*keep).withColumn("keys", F.array().cast("array<long>")).schema
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return source.mapInArrow(run, source.select(*keep).withColumn(name, F.array().cast("array<long>")).schema)
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, k1, k2, n, first), written: rows by id and text, and whether they are the first of their group of near copies.
 
     Texts are compared if they share a bucket of ``near_keys`` (by calculation one pair in some 200 at 0.8 shares none,
-    fewer above) and are linked if their sets of word shingles have the Jaccard similarity asked for. Equal texts are one
+    fewer above), are not too far apart in ``near_bits`` (one in some 2 000 at 0.8 is) and are linked if their sets of word shingles have the Jaccard similarity asked for. Equal texts are one
     node, and texts without words, null or not, are alike. A node goes by the first 64 bits of its key; should two texts
     share those, the second is left alone.
     """
     scratch = Scratch(spark, "similar")
     keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
-    nodes = key_table(keyed, ["k1"], width).groupBy(F.col("k1").alias("id")).agg(F.min("keys").alias("keys"))
+    nodes = hashed(keyed, ["k1"], width, near_keys, "keys").groupBy(F.col("k1").alias("id")).agg(F.min("keys").alias("keys"))
     met = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key"))
 
     def texts(ids: DataFrame) -> DataFrame:
         some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(ids) if small(ids) else ids, "id", "left_semi")
-        return some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.k2", "t.text")
+        chosen = some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.k2", "t.text")
+        with_bits = hashed(chosen, ["id", "k2", "text"], width, near_bits, "bits")
+        return with_bits.select("id", "k2", "text", *[F.col("bits")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)])
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
@@ -208,7 +232,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
 
         return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
-    roots, have = linked_groups(scratch, met, texts, verify)
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in BIT_COLUMNS])
+    roots, have = linked_groups(scratch, met, texts, verify, attrs=BIT_COLUMNS, close=apart <= MOST_BITS)
     linked = scratch.write(roots.join(have.select(F.col("id").alias("node"), "k2"), "node").select(F.col("node").alias("k1"), "k2", "root"))
     rows = keyed.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(linked, ["k1", "k2"], "left")
     group = [F.coalesce("root", "k1").alias("g"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2")]
