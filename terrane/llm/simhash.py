@@ -219,8 +219,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
     def texts(ids: DataFrame) -> DataFrame:
         some = keyed.select(F.col("k1").alias("id"), "k2", "text").join(F.broadcast(ids) if small(ids) else ids, "id", "left_semi")
         chosen = some.groupBy("id").agg(F.min(F.struct("k2", "text")).alias("t")).select("id", "t.k2", "t.text")
-        with_bits = hashed(chosen, ["id", "k2", "text"], width, near_bits, "bits")
-        return with_bits.select("id", "k2", "text", *[F.col("bits")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)])
+        told = hashed(chosen, ["id", "k2", "text"], width, lambda h: [*near_bits(h), *near_keys(h)], "longs")
+        n = len(BIT_COLUMNS)
+        return told.select("id", "k2", "text", *[F.col("longs")[i].alias(c) for i, c in enumerate(BIT_COLUMNS)], F.slice("longs", n + 1, 1 << 20).alias("keys"))
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
@@ -233,7 +234,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
         return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
     apart = functools.reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in BIT_COLUMNS])
-    roots, have = linked_groups(scratch, met, texts, verify, attrs=BIT_COLUMNS, close=apart <= MOST_BITS)
+    # A pair that shares several keys is compared in the least of them.
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "o_keys"))
+    roots, have = linked_groups(scratch, met, texts, verify, attrs=(*BIT_COLUMNS, "keys"), close=(apart <= MOST_BITS) & once)
     linked = scratch.write(roots.join(have.select(F.col("id").alias("node"), "k2"), "node").select(F.col("node").alias("k1"), "k2", "root"))
     rows = keyed.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).join(linked, ["k1", "k2"], "left")
     group = [F.coalesce("root", "k1").alias("g"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2")]
