@@ -8,7 +8,7 @@ from terrane import sources
 from terrane.embed import layout
 from terrane.embed.quadtree import Quadtree
 from terrane.embed import kernels
-from terrane.operators import calibration, covariates, landscape, pairs, preprocess, quality
+from terrane.operators import calibration, covariates, landscape, merging, pairs, preprocess, quality
 
 
 def frame(spark, x):
@@ -126,3 +126,11 @@ def test_level_averages_and_traces(spark):
     two = layout.restart(pts, betas, 8, one, 1, iters=2, threads=2, layers=2)
     assert max(e for e, *_ in two.costs) == 2 and layout.layer_average(two.y).count() == 60
     assert layout.neighbour_check(pts, betas, 10, 60).where("positive > 10").count() == 0
+
+
+def test_clusters_without_points_merge_too(spark):
+    m = spark.createDataFrame([(c, d, n, float(c * d), 1.0) for c, n in ((1, 9), (2, 7), (4, 5)) for d in (0, 1)], "cluster int, dim int, n long, mean double, var double")
+    father = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 3)], "cluster int, father int")
+    edges = spark.createDataFrame([(a, b, 0.5, 0.5, 5.0 - a) for a, b in ((2, 1), (1, 2), (3, 1), (1, 3), (4, 3), (3, 4))], "cluster int, other int, z double, nz double, top double")
+    out = merging.merge(m, father, edges, 2)
+    assert out.complete and set(out.labels) == {1, 2, 3, 4} and len(set(out.labels.values())) == 2 and all(np.isfinite(s[3]) for s in out.steps)
