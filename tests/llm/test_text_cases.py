@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrane.llm import decontaminate, extraction, lines, mixing, quality, sharding, simhash, substrings, tokencount, toxicity
+from terrane.llm import common, decontaminate, extraction, lines, mixing, quality, sharding, simhash, substrings, tokencount, toxicity
 from terrane.llm.common import Scratch
 from terrane.llm.dom import match, parse
 
@@ -208,3 +209,15 @@ def test_mixing_takes_clashing_names(spark, crowded):
     scratch = Scratch(spark, "t")
     sizes = scratch.write(mixing.sizes_of(crowded))
     assert mixing.apply_plan(sizes, mixing.mixing_plan(scratch, sizes)).count() == crowded.count()
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    """What a written table was shuffled through goes as soon as it is written."""
+    jvm, made = spark.sparkContext._jvm, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    held = lambda: jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = held()
+    assert common.Scratch(spark, "test").write(made).count() == 7
+    deadline = time.time() + 10
+    while held() > before + 1 and time.time() < deadline:  # the count's own
+        time.sleep(0.1)
+    assert held() <= before + 1 and spark.conf.get(common._CLEAN) == "false"
