@@ -221,3 +221,60 @@ def test_scratch_leaves_no_shuffle_files(spark):
     while held() > before + 1 and time.time() < deadline:  # the count's own
         time.sleep(0.1)
     assert held() <= before + 1 and spark.conf.get(common._CLEAN) == "false"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_no_link_of_lines_is_left_out(spark):
+    """Lines as different as a link allows, of every size and also without spaces: what stays is what all pairs say."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word():
+        return "".join(rng.choices(letters, k=rng.randrange(2, 9)))
+
+    def linked(a, b):
+        x, y = (re.sub(r"[.,!]", "", t).split() for t in (a, b))
+        size, n = max(len(a), len(b)), max(len(x), len(y))
+        part = 0.5 if size <= 64 else 0.4 if size <= 256 else 0.2
+        by_words = max(len(a) / len(x), len(b) / len(y)) <= 24 and distance(x, y) <= int(part * n + 1e-9)
+        if size > 256 and by_words:
+            return True
+        alone = size <= 40 or min(len(a) / len(x), len(b) / len(y)) > 16
+        return (alone or by_words) and distance(a, b) <= int(0.2 * size + 1e-9)
+
+    texts = {}
+    for n in [1, 2, 3, 5, 6, 8, 12, 20, 45, 70] * 5:
+        ws = [word() for _ in range(n)]
+        texts[" ".join(ws)] = 0
+        for _ in range(2):
+            other, few = list(ws), n // 5
+            for at in rng.sample(range(n), few):
+                other[at] = word()
+            texts[" ".join(other)] = 0
+        chars = list(" ".join(ws)[:250])
+        for at in rng.sample(range(len(chars)), len(chars) // 6):
+            chars[at] = rng.choice(letters) if chars[at] != " " else " "
+        texts["".join(chars).strip()] = 0
+    for _ in range(8):
+        chars = rng.choices(letters, k=rng.randrange(41, 120))
+        texts["".join(chars)] = 0
+        for at in rng.sample(range(len(chars)), len(chars) // 5):
+            chars[at] = rng.choice(letters)
+        texts["".join(chars)] = 0
+    texts = list(texts)
+    group = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            if group[i] != group[j] and linked(a, texts[j]):
+                group = [group[i] if g == group[j] else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in lines.dedup_lines(spark, docs, min_words=1).where("n_removed = 0").collect()}
+    assert kept == {group.index(g) for g in set(group)}
