@@ -278,3 +278,13 @@ def test_no_link_of_lines_is_left_out(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r["doc_id"] for r in lines.dedup_lines(spark, docs, min_words=1).where("n_removed = 0").collect()}
     assert kept == {group.index(g) for g in set(group)}
+
+
+def test_all_pages_of_a_layout_make_its_wrapper(spark):
+    """A line that only two of sixty pages have otherwise is no template text."""
+    page = "<html><body><div class='menu'><a>Home</a></div><div id=main><h1>Title {0}</h1><p>{1}</p><p>Body {0} of its own, long enough to be more than the rest.</p><p>Printed by all.</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"t{i}", "Second edition" if i in (17, 41) else "First edition")) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    for i in range(60):
+        first = "Second edition" if i in (17, 41) else "First edition"
+        assert got[i] == f"Title t{i}\n{first}\nBody t{i} of its own, long enough to be more than the rest."
