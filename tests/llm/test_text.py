@@ -399,3 +399,26 @@ def test_cut_and_extended_copies_are_found(spark):
     kept = simhash.one_of_each(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     kept = sorted(r["doc_id"] for r in kept)
     assert not [(i, j) for i in kept for j in kept if i < j and simhash.jaccard(texts[i], texts[j], 5) >= 0.8]
+
+
+def test_lines_meet_by_pairs_of_words(spark):
+    """Lines within the rule share a first unit, however many words it lets differ; lines that have only a long word in common share none."""
+    rng = random.Random(31)
+
+    def word(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    rows = []
+    for n in [2, 3, 4, 5, 6, 7, 9, 11, 14, 20, 30, 42, 60, 85] * 4:
+        ws = [word(rng.randrange(3, 12)) for _ in range(n)]
+        size = len(" ".join(ws))
+        most = int((0.5 if size <= 64 else 0.4 if size <= 256 else 0.2) * n + 1e-9)
+        at = {i * n // most + n // most // 2 for i in range(most)}  # far from each other, so that each takes two pairs
+        rows += [(ws, [word(len(w)) if i in at else w for i, w in enumerate(ws)]), (ws, ws[: n - most])]
+    long = word(30)
+    far = [" ".join([word(5) for _ in range(12)] + [long] + [word(5) for _ in range(12)]) for _ in range(20)]
+    made = [" ".join(x) for pair in rows for x in pair] + far
+    first = {r["id"]: set(r["first"]) for r in lines.sketches(spark.createDataFrame(list(enumerate(made)), "id long, line string")).where("kind = 0").collect()}
+    assert all(first[2 * i] & first[2 * i + 1] for i in range(len(rows)))
+    own = range(2 * len(rows), len(made))
+    assert not any(first[x] & first[y] for x, y in itertools.combinations(own, 2))
