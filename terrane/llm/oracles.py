@@ -114,3 +114,55 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_kept_words <= 0.5 * n_words AND n_kept_words > 0 AS kept, n_kept_words FROM failed
 """
+
+_T = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {_T}) AS t FROM documents
+), b AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {_T})) AS t FROM benchmark
+), whole AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM d
+), counted AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) GROUP BY row, term
+), asked AS (
+  SELECT item, unnest(t) AS term FROM b
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, whole WHERE term IN (SELECT term FROM asked) GROUP BY term
+), lengths AS (
+  SELECT row, doc_id, 100 - 50 + ((50 * len(t) * n) // l) AS m FROM d, whole WHERE len(t) > 0
+), scores AS (
+  SELECT item, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (row) GROUP BY item, row
+), ranked AS (
+  SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM scores JOIN lengths USING (row) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN b USING (item) WHERE rank <= 50
+"""
+
+
+def _clustered(k: int, rounds: int) -> str:
+    """Rounds of assigning and averaging, one CTE after another; division rounds down below 0 too."""
+    down = "CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END"
+    q = f"""WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1)::INT AS c, x FROM kept ORDER BY c LIMIT {k}
+)"""
+    for r in range(rounds + 1):
+        q += f""", a{r} AS (
+  SELECT row, (min((d, c)))[1] AS distance, (min((d, c)))[2] AS cluster
+  FROM (SELECT row, c, list_sum(list_transform(list_zip(kept.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r}) GROUP BY row
+)"""
+        if r < rounds:
+            q += f""", s{r} AS (
+  SELECT cluster, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS v, unnest(range(64)) AS i FROM a{r} JOIN kept USING (row)) GROUP BY cluster, i
+), c{r + 1} AS (
+  SELECT c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (SELECT cluster, list({down} ORDER BY i) AS x FROM s{r} GROUP BY cluster) m ON cluster = c
+)"""
+    return q + f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN c{rounds} ON c = cluster"""
+
+
+OP13 = _clustered(16, 3)
