@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, masked
 
-KNOWN, SLICE = 200_000, 4 << 20
+KNOWN, SLICE = 150_000, 1 << 20
 NONE = np.iinfo(np.int64).max
 
 
