@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.pairs import count_of, ids_of, kind_of, pair_sqdist, sparse_block, sqdist, within_bound
+from terrane.operators.neighbours import kernel, partners, within_bound
+from terrane.operators.pairs import block_matrices, block_pairs, block_size, count_of, ids_of, kind_of, over, pair_sqdist, sparse_block, sqdist
 from terrane.session import checkpointed
 
 from . import kernels
@@ -224,14 +225,77 @@ def layer_average(y: DataFrame) -> DataFrame:
     return y.groupBy("id").agg(F.avg("y1").alias("y1"), F.avg("y2").alias("y2"))
 
 
-def neighbour_check(points: DataFrame, betas: DataFrame, size: int, sample: int, seed: int = 0) -> DataFrame:
-    """(id, positive, total): in a sample of points, how many picked affinities are positive, and their sum."""
-    some = points.join(betas.select("id", "beta", "znorm"), "id").orderBy(draw(F.lit(str(seed)), F.col("id").cast("string"))).limit(sample)
+def mutual_affinities(points: DataFrame, betas: DataFrame, size: int, pivots: int | None = None, computed=None) -> DataFrame:
+    """(i, j, p): each point's ``size`` best partners by the sum of both ends' kernels, and their affinities.
+
+    The kernels of both ends, each divided by what its own end has picked in all; an end that picked nothing adds nothing.
+    """
+    b = betas.select("id", "beta", "znorm")
+    picked = partners(points, b, size, pivots=pivots, computed=computed).join(b.toDF("i", "bi", "zi"), "i").join(b.toDF("j", "bj", "zj"), "j")
+    k = checkpointed(picked.select("i", "j", kernel("bi", "zi").alias("own"), kernel("bj", "zj").alias("back")))
+    total = k.groupBy("i").agg(F.sum("own").alias("t"))
+    both = k.join(total, "i").join(total.toDF("j", "u"), "j")
+    share = [F.coalesce(F.try_divide(a, b), F.lit(0.0)) for a, b in (("own", "t"), ("back", "u"))]
+    return both.select("i", "j", (0.5 / max(count_of(points), 1) * (share[0] + share[1])).alias("p"))
+
+
+def repulsions(y: DataFrame, block: int = 2048) -> DataFrame:
+    """(id, r1, r2, q) of ``y(id, y1, y2)``: sums of q^2 (y_i - y_j) and of q over the others.
+
+    Blocks against blocks, each pair summed within its task to a row a point, and added up by id.
+    """
+    points = y.select("id", F.array("y1", "y2").alias("x"))
+    blocks = max(1, -(-(n := points.count()) // block_size(points, n, block)))
+    packed = block_matrices(points, blocks)
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                a, b = (np.asarray(v, dtype=float).reshape(-1, 2) for v in (r.flat, r.flat2))
+                push, mass = kernels.pushed(a, b)
+                yield pd.DataFrame({"id": np.asarray(r.ids), "r1": push[:, 0], "r2": push[:, 1], "q": mass - 1.0 * (r.b == r.b2)})
+
+    parts = block_pairs(packed, packed, blocks).mapInPandas(run, "id bigint, r1 double, r2 double, q double")
+    return parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("r1", "r2", "q")])
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id", ignore_index=True)
-        x = np.stack(f["x"].to_numpy())
-        _, p = kernels.affinities(sqdist(x, x), f["beta"].to_numpy(), f["znorm"].to_numpy(), min(size, len(f) - 1))
-        return pd.DataFrame({"id": f["id"], "positive": (p > 0).sum(axis=1), "total": p.sum(axis=1)})
 
-    return some.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id bigint, positive bigint, total double")
+def attractions(y: DataFrame, p: DataFrame) -> DataFrame:
+    """(id, a1, a2, c) of layout ``y`` and affinities ``p(i, j, p)``: sums of p q (y_i - y_j) and of p ln(1 / q) over a point's partners."""
+    one, two = (y.select(F.col("id").alias(i), F.col("y1").alias(a), F.col("y2").alias(b)) for i, a, b in (("i", "a1", "a2"), ("j", "b1", "b2")))
+    d1, d2 = F.col("a1") - F.col("b1"), F.col("a2") - F.col("b2")
+    sq = d1 * d1 + d2 * d2
+    e = p.join(one, "i").join(two, "j")
+    return e.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("p") * d1 / (1 + sq)).alias("a1"), F.sum(F.col("p") * d2 / (1 + sq)).alias("a2"), F.sum(F.col("p") * F.log1p(sq)).alias("c"))
+
+
+def forces(y: DataFrame, p: DataFrame) -> DataFrame:
+    """(id, a1, a2, c, r1, r2, q): attraction and repulsion of every point, those without partners too."""
+    none = {c: 0.0 for c in ("a1", "a2", "c")}
+    return repulsions(y).join(attractions(y, p), "id", "left").fillna(none)
+
+
+def gradient(y: DataFrame, p: DataFrame) -> DataFrame:
+    """(id, dy1, dy2): the slope of the layout's cost, from an edge join and block sums."""
+    f = checkpointed(forces(y, p))
+    whole = f.agg(F.sum("q").alias("z")).crossJoin(p.agg(F.sum("p").alias("s")))  # one row
+    part = [(over(F.col(f"a{k}"), F.col("s")) - over(F.col(f"r{k}"), F.col("z"))).alias(f"dy{k}") for k in (1, 2)]
+    return f.join(F.broadcast(whole)).select("id", *part)
+
+
+def cost(y: DataFrame, p: DataFrame) -> DataFrame:
+    """(cost): the divergence of the layout, scaled by ln(n (n - 1)); null for fewer than two points."""
+    f = forces(y, p).agg(F.sum("c").alias("c"), F.sum("q").alias("z"), F.count(F.lit(1)).alias("n"))
+    near = f.crossJoin(p.agg(F.sum("p").alias("s")))  # one row
+    n = F.col("n").cast("double")
+    return near.select(F.try_divide(over(F.col("c"), F.col("s")) + F.log("z"), F.log(n * (n - 1))).alias("cost"))
+
+
+def neighbour_check(points: DataFrame, betas: DataFrame, size: int, sample: int, seed: int = 0) -> DataFrame:
+    """(id, positive, total): in a sample of points, how many picked affinities are positive, and their sum."""
+    if sample < count_of(points):
+        chosen = ids_of(points).orderBy(draw(F.lit(str(seed)), F.col("id").cast("string"))).limit(sample)
+        ends = [chosen.withColumnRenamed("id", e) for e in ("i", "j")] if kind_of(points) == "distances" else []
+        points = points.join(ends[0], "i").join(ends[1], "j") if ends else points.join(chosen, "id")
+    points = checkpointed(points)
+    p = mutual_affinities(points, betas, min(size, max(count_of(points) - 1, 1)))
+    return p.groupBy(F.col("i").alias("id")).agg(F.count_if(F.col("p") > 0).alias("positive"), F.sum("p").alias("total"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from terrane.functions.lambertw import lambert_wm1
 
-from .pairs import count_of, nearest, q_nn
+from .neighbours import nearest, q_nn
+from .pairs import count_of
 
 TOLERANCE, ROUNDS = float(np.log(1 / 0.99999)), 100
 
@@ -66,20 +67,22 @@ def neighbourhoods(points: DataFrame, q: int) -> DataFrame:
 
 
 def calibrate(points: DataFrame, ppx: int | list[int], xppx: float = 3.0, n: int | None = None) -> DataFrame:
-    """(id, ppx, beta, znorm, lq) of points of any kind, for one perplexity or several; znorm is twice Z."""
+    """(id, ppx, beta, znorm, lq) of points of any kind, for one perplexity or several; znorm is twice Z.
+
+    Neighbourhoods of a smaller perplexity are the front of those of the largest, so neighbours are looked for once.
+    """
     n = count_of(points) if n is None else n
-    out = None
-    for p in [ppx] if isinstance(ppx, int) else ppx:
-
-        def run(frames, p=p):
-            for f in frames:
-                if len(f):
-                    beta, z = solve(np.stack(f["near"].to_numpy()), f["lq"].to_numpy(), p, xppx)
-                    yield pd.DataFrame({"id": f["id"], "ppx": p, "beta": beta, "znorm": 2 * z, "lq": f["lq"]})
-
-        part = neighbourhoods(points, q_nn(n, p, xppx)).mapInPandas(run, "id bigint, ppx int, beta double, znorm double, lq double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sizes = {p: q_nn(n, p, xppx) for p in ([ppx] if isinstance(ppx, int) else ppx)}
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                near = np.stack([np.append(a, b) for a, b in zip(f["near"], f["lq"])])
+                for p, q in sizes.items():
+                    beta, z = solve(near[:, :q], near[:, q], p, xppx)
+                    yield pd.DataFrame({"id": f["id"], "ppx": p, "beta": beta, "znorm": 2 * z, "lq": near[:, q]})
+
+    return neighbourhoods(points, max(sizes.values())).mapInPandas(run, "id bigint, ppx int, beta double, znorm double, lq double")
 
 
 def entropy_at(points: DataFrame, q: int, beta: float) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Squared distances, ranks and neighbours, of dense points, sparse points or a table of distances.
+"""Squared distances of dense points, sparse points or a table of distances.
 
 All-pairs work on points is dealt out as blocks of points against blocks of points, so no task holds more than two blocks
-and nothing but a block is shipped; nearest neighbours keep the best of each block and merge. Distances that are given
-as rows ``(i, j, sqdist)`` are ranked as they are.
+and nothing but a block is shipped. Neighbours are in ``neighbours``.
 
 Points with a null vector, or a null in it, cannot be placed and are refused by name rather than inside a task.
 """
@@ -132,56 +131,6 @@ def pair_sqdist(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return block_pairs(packed, packed, blocks, half=True).mapInPandas(run, "i bigint, j bigint, sqdist double")
 
 
-def nearest(points: DataFrame, k: int, block: int = BLOCK, of: DataFrame | None = None, self_first: bool = True) -> DataFrame:
-    """(i, j, sqdist, rank): the ``k`` nearest of each point, or of each of the points ``of``, itself included; ties go by id.
-
-    The point itself is at distance 0 and comes first, with ``self_first`` also before others at that distance. Each block
-    pair gives at most ``k`` rows a point; the ranking merges them.
-    """
-    order = [F.col("sqdist"), *([F.col("i") != F.col("j")] if self_first else []), F.col("j")]
-    best = Window.partitionBy("i").orderBy(*order)
-    if kind_of(points) == "distances":
-        both = pair_sqdist(points)
-        own = ids_of(points).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("sqdist"))
-        found = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "sqdist")).unionByName(own)
-        found = found if of is None else found.join(ids_of(of).select(F.col("id").alias("i")), "i", "left_semi")
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    n = points.count()
-    blocks = max(1, -(-n // block_size(points, n, block)))
-    right = block_matrices(points, blocks)
-    left = right if of is None else block_matrices(of, blocks)
-
-    def run(frames):
-        for f in frames:
-            for r in f.itertuples(index=False):
-                i, j, d = _distances(r)
-                # Ids rise within a block, so a stable sort breaks ties by id; the point itself must not be cut off.
-                if self_first:
-                    d = np.where(i[:, None] == j[None, :], -1.0, d)
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"i": np.repeat(i, order.shape[1]), "j": j[order].ravel(), "sqdist": np.maximum(np.take_along_axis(d, order, 1), 0).ravel()})
-
-    found = block_pairs(left, right, blocks).mapInPandas(run, "i bigint, j bigint, sqdist double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def q_nn(n: int, ppx: int, xppx: float = 3.0) -> int:
-    """The order statistic that bounds a point's neighbourhood."""
-    return min(int(xppx * ppx + 1), n - 1)
-
-
-def nn_quantile(points: DataFrame, q: int) -> DataFrame:
-    """(id, lq): the squared distance at position ``q`` of each point's sorted distances, position 0 being itself."""
-    return nearest(points, q + 1).where(F.col("rank") == q + 1).select(F.col("i").alias("id"), F.col("sqdist").alias("lq"))
-
-
-def within_bound(points: DataFrame, q: int, size: int) -> DataFrame:
-    """(i, j, sqdist): of the others no farther than the bound of i, the first ``size`` in order of id."""
-    near = nearest(points, q + 1).where("i <> j")
-    first = Window.partitionBy("i").orderBy("j")
-    return near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= size).select("i", "j", "sqdist")
-
-
 def sparse_sqdist(points: DataFrame) -> DataFrame:
     """(i, j, sqdist) for i < j of ``(id, x map<int,double>)``, by blocks like dense ones."""
     return pair_sqdist(points)

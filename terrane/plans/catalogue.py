@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane import sources
-from terrane.embed import kernels, layout
-from terrane.operators import calibration, covariates, landscape, merging, pairs, preprocess, quality
+from terrane.embed import layout
+from terrane.operators import calibration, covariates, landscape, merging, neighbours, pairs, preprocess, quality
 from terrane.session import checkpointed, rounded
 
 from . import sql
@@ -57,15 +57,15 @@ def pair_sqdist(spark, sf):
 
 
 def nn_quantile(spark, sf):
-    return r6(pairs.nn_quantile(x_of(spark, sf), 91).withColumnRenamed("id", "vec_id"), "lq")
+    return r6(neighbours.nn_quantile(x_of(spark, sf), 91).withColumnRenamed("id", "vec_id"), "lq")
 
 
 def knn_rank(spark, sf):
-    return pairs.nearest(x_of(spark, sf), 10).select("i", "j", "rank")
+    return neighbours.nearest(x_of(spark, sf), 10).select("i", "j", "rank")
 
 
 def neighbour_bound(spark, sf):
-    return r6(pairs.within_bound(x_of(spark, sf), 91, 90), "sqdist")
+    return r6(neighbours.within_bound(x_of(spark, sf), 91, 90), "sqdist")
 
 
 def _sparse(spark, sf) -> DataFrame:
@@ -182,37 +182,26 @@ def layout_start(spark, sf):
     return r6(layout.initial(x_of(spark, sf), 2, 7), "y1", "y2")
 
 
-CHUNK = "i bigint, j bigint, p double, dy1 double, dy2 double, cost double"
-
-
-def _chunk(spark, sf) -> DataFrame:
-    """All points as one chunk on one worker: a row for each picked partner, with the gradient of i and the cost of all."""
-    import numpy as np
-    import pandas as pd
-
-    rows = x_of(spark, sf).join(y_of(spark, sf).select("id", "y1", "y2"), "id")
-
-    def run(f):
-        f = f.sort_values("id", ignore_index=True)
-        x, y = np.stack(f["x"].to_numpy()), f[["y1", "y2"]].to_numpy() / 10
-        pick, p = kernels.affinities(pairs.sqdist(x, x), np.full(len(x), 2.0), np.full(len(x), 3.0), 20)
-        g, c, ids, each = kernels.gradient(y, pick, p), kernels.cost(y, pick, p), f["id"].to_numpy(), pick.shape[1]
-        return pd.DataFrame({"i": np.repeat(ids, each), "j": ids[pick.ravel()], "p": p.ravel(), "dy1": np.repeat(g[:, 0], each), "dy2": np.repeat(g[:, 1], each), "cost": c})
-
-    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, CHUNK)
+def _affinities(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A tenth of the layout, and the affinities of all points' 20 best partners."""
+    x = x_of(spark, sf)
+    b = x.select("id", F.lit(2.0).alias("beta"), F.lit(3.0).alias("znorm"))
+    y = y_of(spark, sf).select("id", (F.col("y1") / 10).alias("y1"), (F.col("y2") / 10).alias("y2"))
+    return y, layout.mutual_affinities(x, b, 20)
 
 
 def local_affinity(spark, sf):
-    return r6(_chunk(spark, sf).select("i", "j", "p"), "p", digits=9)
+    return r6(_affinities(spark, sf)[1], "p", digits=9)
 
 
 def tsne_one_step(spark, sf):
-    g = _chunk(spark, sf).groupBy(F.col("i").alias("id")).agg(F.first("dy1").alias("dy1"), F.first("dy2").alias("dy2"))
-    return r6(g, "dy1", "dy2", digits=9)
+    y, p = _affinities(spark, sf)
+    return r6(layout.gradient(y, checkpointed(p)), "dy1", "dy2", digits=9)
 
 
 def tsne_cost(spark, sf):
-    return r6(_chunk(spark, sf).select("cost").distinct(), "cost")
+    y, p = _affinities(spark, sf)
+    return r6(layout.cost(y, checkpointed(p)), "cost")
 
 
 def global_affinity(spark, sf):

@@ -8,7 +8,7 @@ from terrane import sources
 from terrane.embed import layout
 from terrane.embed.quadtree import Quadtree
 from terrane.embed import kernels
-from terrane.operators import calibration, covariates, landscape, merging, pairs, preprocess, quality
+from terrane.operators import calibration, covariates, landscape, merging, neighbours, pairs, preprocess, quality
 
 
 def frame(spark, x):
@@ -70,7 +70,7 @@ def test_global_layout_by_tree(spark):
 
 
 def test_no_cartesian_product(kinds):
-    plan = pairs.nearest(kinds[0], 3)._jdf.queryExecution().executedPlan().toString()
+    plan = neighbours.nearest(kinds[0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
@@ -80,7 +80,7 @@ def test_no_rows(spark):
     assert landscape.point_cells(y, 5).count() == 0 and landscape.point_cells(y, 5, frame="raster").count() == 0
     assert preprocess.whiten(points, 2).count() == 0 and preprocess.whiten(points, 4).count() == 0
     assert quality.hl_correlation(points, points).count() == 0 and quality.knp(points, points).count() == 0
-    assert pairs.nearest(points, 3).count() == 0 and pairs.pair_sqdist(points).count() == 0 and pairs.center_scale(points).count() == 0
+    assert neighbours.nearest(points, 3).count() == 0 and pairs.pair_sqdist(points).count() == 0 and pairs.center_scale(points).count() == 0
 
 
 def test_data_that_do_not_vary(spark):
@@ -95,7 +95,7 @@ def test_data_that_do_not_vary(spark):
 def test_points_without_a_place_are_named(spark):
     bad = spark.createDataFrame([(1, [1.0]), (7, None)], "id long, x array<double>")
     with pytest.raises(Exception, match="point without a place: id 7"):
-        pairs.nearest(bad, 2).collect()
+        neighbours.nearest(bad, 2).collect()
 
 
 def test_quantiles_of_many_ranges(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane import sources
 from terrane.embed import layout
-from terrane.operators import calibration, covariates, landscape, pairs
+from terrane.operators import calibration, covariates, landscape, neighbours, pairs
 
 
 def test_sparse_equals_dense(spark):
@@ -24,7 +24,7 @@ def test_distance_rows_are_squared(spark):
 def test_nearest_in_blocks_is_exact(spark):
     x = np.random.default_rng(0).normal(size=(120, 3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
-    got = {(r["i"], r["rank"]): r["j"] for r in pairs.nearest(df, 5, block=17).collect()}
+    got = {(r["i"], r["rank"]): r["j"] for r in neighbours.nearest(df, 5, block=17).collect()}
     d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     for i, row in enumerate(np.argsort(d, axis=1)[:, :5]):
         assert [got[i, k + 1] for k in range(5)] == row.tolist()
