@@ -13,8 +13,7 @@ from terrane.operators.neighbours import kernel, partners, within_bound
 from terrane.operators.pairs import block_matrices, block_pairs, block_size, count_of, ids_of, kind_of, over, pair_sqdist, sparse_block, sqdist
 from terrane.session import checkpointed
 
-from . import kernels
-from .quadtree import Quadtree
+from . import kernels, quadtree
 
 
 def scheme(n: int, threads: int = 4, layers: int = 2) -> dict:
@@ -62,6 +61,7 @@ class Layout:
     costs: list[tuple[int, int, float]] = field(default_factory=list)  # epoch, worker, cost
     sizes: list[tuple[int, float]] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)
+    state: DataFrame | None = None  # of a global layout: id, places, updates, gains
 
 
 def _size(y: DataFrame) -> float:
@@ -152,74 +152,65 @@ def global_affinities(points: DataFrame, betas: DataFrame, ppx: int, xppx: float
     return d.select("i", "j", p.alias("p"))
 
 
-def mtsne(points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta: float = 0.5, seed: int = 0, y: DataFrame | None = None, frames: bool = False, stop: float = 2e-4, every: int = 25, most: int = 5_000_000) -> Layout:
-    """Global t-SNE: affinities from a join, one job an iteration, the layout of all points broadcast to each task.
+STATE = ("y1", "y2", "u1", "u2", "g1", "g2")
 
-    The repulsion is exact, or by a quadtree that each task builds of the layout if ``theta`` is 0.33 or more. A layout
-    is 24 bytes a point, and the repulsion needs all of it: ``most`` points bound the broadcast, by default to 120 MB.
+
+def mtsne(
+    points: DataFrame, betas: DataFrame, ppx: int, iters: int = 250, theta: float = 0.5, seed: int = 0, y: DataFrame | None = None, frames: bool = False,
+    stop: float = 2e-4, every: int = 25, until: int | None = None, before: Layout | None = None, log_size: bool = True, reset: bool = False, block: int | None = None,
+) -> Layout:
+    """Global t-SNE: places, updates and gains are a table; attraction is a join with the affinities, repulsion is summed by blocks.
+
+    The repulsion is exact, or by a quadtree over tables if ``theta`` is 0.33 or more; no task holds the whole layout, and
+    only sums come to the driver. ``until`` ends after so many of the ``iters`` iterations, and ``before`` goes on from there:
+    together they are one run. A start ``y`` of another method is refined likewise. If the cost rises by more than ``stop``
+    the layout stays as it was; at a smaller rise, with ``reset``, gains go back to 1. ``log_size`` false takes the size of the
+    data off the step length.
     """
-    n = count_of(points)
-    if n > most:
-        raise ValueError(f"global t-SNE takes up to {most} points; raise most if a broadcast of {24 * n} bytes fits, or use ptsne")
-    theta, spark = bounded(theta), points.sparkSession
-    p = checkpointed(global_affinities(points, betas, ppx).groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("p").alias("p")))
-    total = p.select(F.sum(F.aggregate("p", F.lit(0.0), lambda a, v: a + v))).first()[0]
-    size = int(min(3 * ppx, n - 1))
-    start = (y if y is not None else initial(ids_of(points), 1, seed)).where("layer = 1").orderBy("id").toPandas()
-    ids, pos = start["id"].to_numpy(), start[["y1", "y2"]].to_numpy()
-    u, g = np.zeros_like(pos), np.ones_like(pos)
-    out, last = Layout(None), np.inf
-    for it in range(1, iters + 1):
-        shared = spark.sparkContext.broadcast((ids, pos))
-
-        def run(frames):
-            ids_, y_ = shared.value
-            tree = Quadtree(y_) if theta >= 0.33 else None
-            for f in frames:
-                at = np.searchsorted(ids_, f["i"].to_numpy())
-                push, mass = np.empty((len(at), 2)), np.zeros(len(at))
-                if tree is not None:
-                    push, total_mass = tree.repulsion(theta, at)
-                    mass[:1] = total_mass  # only its sum counts
-                else:
-                    for a in range(0, len(at), step := max(1, ROWS // len(y_))):  # a bounded piece of the matrix at a time
-                        some = at[a : a + step]
-                        d = y_[some][:, None] - y_[None]
-                        q = 1 / (1 + (d**2).sum(axis=2))
-                        q[np.arange(len(some)), some] = 0
-                        push[a : a + step], mass[a : a + step] = ((q**2)[:, :, None] * d).sum(axis=1), q.sum(axis=1)
-                rows = []
-                for k, (js, ps) in enumerate(zip(f["j"], f["p"])):
-                    dv = y_[at[k]] - y_[np.searchsorted(ids_, np.asarray(js))]
-                    sq = (dv**2).sum(axis=1)
-                    w = np.asarray(ps) / (1 + sq)
-                    rows.append((int(f["i"].iloc[k]), *(w[:, None] * dv).sum(axis=0), *push[k], float(mass[k]), float((np.asarray(ps) * np.log1p(sq)).sum())))
-                yield pd.DataFrame(rows, columns=["i", "a1", "a2", "r1", "r2", "q", "c"])
-
-        f = p.mapInPandas(run, "i bigint, a1 double, a2 double, r1 double, r2 double, q double, c double").toPandas().sort_values("i")
-        zq = f["q"].sum()
-        c = float((np.log(zq) + f["c"].sum() / total) / np.log(n * (n - 1.0)))
+    n, theta = count_of(points), bounded(theta)
+    p = checkpointed(global_affinities(points, betas, ppx))
+    total = p.agg(F.sum("p")).first()[0] or 0.0
+    rate = np.log(float(n) * min(3 * ppx, n - 1)) if log_size and n > 1 else 1.0
+    if before is None:
+        start = (y if y is not None else initial(ids_of(points), 1, seed)).where("layer = 1")
+        zero, one = F.lit(0.0), F.lit(1.0)
+        state = checkpointed(start.select("id", "y1", "y2", zero.alias("u1"), zero.alias("u2"), one.alias("g1"), one.alias("g2")))
+        out = Layout(None, state=state)
+    else:
+        out = Layout(None, list(before.costs), list(before.sizes), list(before.frames), before.state)
+    bounds = [f(c).alias(n_) for c, a in (("y1", 1), ("y2", 2)) for f, n_ in ((F.min, f"low{a}"), (F.max, f"high{a}"))]
+    box = out.state.agg(*bounds).first() if n else None
+    for it in range(len(out.costs) + 1, (until if until is not None else iters) + 1):
+        if n < 2:
+            break
+        low, high = (np.array([box[f"{w}{k}"] for k in (1, 2)]) for w in ("low", "high"))
+        size = float(np.hypot(*(high - low)))
+        push = repulsions(out.state, block or 2048) if theta < 0.33 else quadtree.repulsions(out.state, theta, low, high, n, block)
+        met = out.state.join(push, "id").join(attractions(out.state, p), "id", "left").fillna(0.0, ["a1", "a2", "c"])
+        met = checkpointed(met)
+        whole = met.agg(F.sum("q").alias("z"), F.sum("c").alias("c")).first()
+        c = float((np.log(whole["z"]) + (whole["c"] / total if total else 0.0)) / np.log(n * (n - 1.0)))
+        last = out.costs[-1][2] if out.costs else np.inf
         out.costs.append((it - 1, 0, c))
         if c > last + stop:
             break
-        last = c
-        s = float(np.hypot(*(pos.max(axis=0) - pos.min(axis=0))))
-        out.sizes.append((it - 1, s))
-        eta, alpha = 2 * (s + 1 / s) * np.log(float(n) * size), kernels.MOMENTUM * (1 - it / iters) ** 2
-        grad = f[["a1", "a2"]].to_numpy() / total - f[["r1", "r2"]].to_numpy() / zq
-        pos, u, g = kernels.step(pos, u, g, grad, eta, alpha)
-        shared.unpersist()
+        out.sizes.append((it - 1, size))
+        eta, alpha = 2 * (size + 1 / size) * rate, kernels.MOMENTUM * (1 - it / iters) ** 2
+        new = {}
+        for k in "12":
+            slope = (F.col(f"a{k}") / total if total else F.lit(0.0)) - F.col(f"r{k}") / whole["z"]
+            gain = F.lit(1.0) if reset and c > last else F.col(f"g{k}")
+            gain = F.when((slope < 0) != (F.col(f"u{k}") < 0), gain + 0.1 * kernels.GAIN).otherwise(gain * (1 - 0.1 * kernels.GAIN))
+            update = alpha * F.col(f"u{k}") - eta * gain * slope
+            new |= {f"y{k}": F.col(f"y{k}") + update, f"u{k}": update, f"g{k}": gain}
+        out.state = met.select("id", *[new[c].alias(c) for c in STATE])  # one step on rows that are written out
+        box = out.state.agg(*bounds).first()
         if frames and it % every == 0:
-            out.frames.append(spark.createDataFrame(pd.DataFrame({"id": ids, "layer": 1, "y1": pos[:, 0], "y2": pos[:, 1], "epoch": it}), "id bigint, layer int, y1 double, y2 double, epoch int"))
-    rows = pd.DataFrame({"id": ids, "layer": 1, "y1": pos[:, 0], "y2": pos[:, 1]})
-    out.y = spark.createDataFrame(rows, "id bigint, layer int, y1 double, y2 double")
+            out.frames.append(out.state.select("id", F.lit(1).alias("layer"), "y1", "y2", F.lit(it).alias("epoch")))
+    out.y = out.state.select("id", F.lit(1).alias("layer"), "y1", "y2")
     return out
 
 
-#: Entries of the distance matrix that a task holds at once.
-ROWS = 2_000_000
-
-
 def layer_average(y: DataFrame) -> DataFrame:
     """(id, y1, y2): the mean place of each point over layers."""
     return y.groupBy("id").agg(F.avg("y1").alias("y1"), F.avg("y2").alias("y2"))
