@@ -6,12 +6,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators.neighbours import kernel, partners, within_bound
 from terrane.operators.pairs import block_matrices, block_pairs, block_size, count_of, ids_of, kind_of, over, pair_sqdist, sparse_block, sqdist
 from terrane.session import checkpointed
+from terrane.sources import draw
 
 from . import kernels, quadtree
 
@@ -27,11 +28,6 @@ def nn_size(n: int, ppx: int, threads: int = 4, layers: int = 2, xppx: float = 3
     return int(min(3 * ppx, z - 1)) if threads == layers else int(round(min(xppx * ppx * layers / threads, z - 1)))
 
 
-def draw(*parts: Column) -> Column:
-    """A uniform number from the md5 of its parts, the same in every engine."""
-    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
 def initial(ids: DataFrame, layers: int, seed: int = 0) -> DataFrame:
     """(id, layer, y1, y2) uniform on a disk of radius sqrt(1/2)/2."""
     d = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))

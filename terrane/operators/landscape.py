@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from terrane.session import checkpointed
 
+from .components import components
+
 
 def raster_frame(y: DataFrame, g: int, g_exp: float = 3.0) -> dict:
     """Bounds of the raster: the extreme points, each moved out by ``g_exp`` of its own kernel deviations."""
@@ -26,7 +28,7 @@ def raster_frame(y: DataFrame, g: int, g_exp: float = 3.0) -> dict:
 def density(y: DataFrame, g: int = 200, g_exp: float = 3.0, classes: str | None = None, frame: dict | None = None) -> DataFrame:
     """(cell, cx, cy, gx, gy, z) of ``y(id, y1, y2, beta)``; with ``classes``, a row for each (cell, class) and its p.
 
-    Every batch of points adds up a raster of its own; rasters are then summed by cell. The kernel is a product of one in
+    Every task adds up a raster of its own, of each class it meets; rasters are then summed by cell. The kernel is a product of one in
     each direction, so a batch takes two short exponentials a point and one matrix product. No points give no cells.
     """
     fr = frame or raster_frame(y, g, g_exp)
@@ -50,9 +52,12 @@ def density(y: DataFrame, g: int = 200, g_exp: float = 3.0, classes: str | None
             yield pd.DataFrame({"cell": cell, "z": total})
 
     def run_classes(frames):
+        total: dict = {}
         for f in frames:
             for c, own in f.groupby("class"):
-                yield pd.DataFrame({"cell": cell, "class": c, "z": partial(own)})
+                total[c] = total.get(c, 0.0) + partial(own)
+        for c, z in total.items():
+            yield pd.DataFrame({"cell": cell, "class": c, "z": z})
 
     cx, cy = F.pmod("cell", F.lit(g)).cast("int"), F.expr(f"cell div {g}").cast("int")
     gx, gy = F.lit(fr["x0"]) + cx * F.lit(xs[1] - xs[0]), F.lit(fr["y0"]) + cy * F.lit(ys[1] - ys[0])
@@ -135,50 +140,34 @@ def peaks(raster: DataFrame, g: int) -> DataFrame:
 def watershed(raster: DataFrame, g: int) -> DataFrame:
     """(cell, cluster, peak): cells follow the steepest ascent to a peak; clusters are numbered by falling peak density.
 
-    The highest of the neighbours, self included, is the parent (of equals the last in cell order, so no path can
-    turn back), and pointer jumping halves the paths in each round. Connected cells of equal density that nothing
-    exceeds are one peak; see ``level_peaks``.
+    The highest of a cell's neighbours is its parent (of equals the last in cell order). Connected cells of equal density
+    are a plain: what does not touch anything higher on it goes to the cell of the plain that touches the highest, and if
+    none does, to the plain's last cell, which is then one peak for all. Pointer jumping doubles the way of each round.
     """
     z = raster.select(F.col("cell").alias("nb"), F.col("z").alias("nz"))
-    up = neighbours(raster, g).join(z, "nb").groupBy("cell").agg(F.max(F.struct("nz", "nb")).alias("m"))
-    at = checkpointed(up.select("cell", F.col("m.nb").alias("peak")))
-    for _ in range(2 * int(np.ceil(np.log2(g))) + 2):
+    around = neighbours(raster, g).join(z, "nb").join(raster.select("cell", "z"), "cell")
+    up = checkpointed(around.groupBy("cell", "z").agg(F.max(F.struct("nz", "nb")).alias("m")))
+    level = checkpointed(around.where("z = nz AND cell <> nb").select(F.col("cell").alias("a"), F.col("nb").alias("b")))
+    if level.isEmpty():
+        at = up.select("cell", F.col("m.nb").alias("peak"))
+    else:
+        plain = components(level).select(F.col("node").alias("cell"), "root")
+        held = up.join(plain, "cell", "left")
+        exits = held.where("root IS NOT NULL").groupBy("root").agg(F.max("cell").alias("last"), F.max(F.when(F.col("m.nz") > F.col("z"), F.struct("m.nz", "cell"))).alias("exit"))
+        to = F.when((F.col("m.nz") > F.col("z")) | F.col("root").isNull(), F.col("m.nb")).otherwise(F.coalesce("exit.cell", "last"))
+        at = held.join(exits, "root", "left").select("cell", to.alias("peak"))
+    at, moved = checkpointed(at), True
+    while moved:
         step = at.select(F.col("cell").alias("c2"), F.col("peak").alias("p2"))
-        new = checkpointed(at.join(step, F.col("peak") == F.col("c2")).select("cell", F.col("p2").alias("peak")))
-        moved = new.join(at.withColumnRenamed("peak", "was"), "cell").where("peak <> was").limit(1).count()
-        at = new
-        if not moved:
-            break
-    at = level_peaks(raster, at, g)
+        new = checkpointed(at.join(step, F.col("peak") == F.col("c2")).select("cell", "peak", F.col("p2").alias("next")))
+        moved = not new.where("peak <> next").isEmpty()
+        at = new.select("cell", F.col("next").alias("peak"))
     top = at.select(F.col("peak").alias("cell")).distinct().join(raster.select("cell", "z"), "cell")
     order = Window.orderBy(F.desc("z"), "cell")  # one row a cluster
     ids = top.select(F.col("cell").alias("peak"), F.row_number().over(order).alias("cluster"))
     return at.join(ids, "peak").select("cell", "cluster", "peak")
 
 
-def level_peaks(raster: DataFrame, at: DataFrame, g: int, rounds: int = 200) -> DataFrame:
-    """Merges peaks that lie on one level plain: (cell, peak) with the greatest cell of the plain as peak."""
-    top = at.select(F.col("peak").alias("cell")).distinct().join(raster, "cell")
-    near = neighbours(raster, g).where("cell <> nb")
-    z = raster.select(F.col("cell").alias("nb"), F.col("z").alias("nz"))
-    same = near.join(raster.select("cell", "z"), "cell").join(z, "nb").where("z = nz").select("cell", "nb")
-    if not same.join(top.select("cell"), "cell", "left_semi").limit(1).count():
-        return at
-    mark = checkpointed(at.select("cell", F.col("peak").alias("m")))
-    same = checkpointed(same)
-    for _ in range(rounds):
-        # Peaks whose cells touch at the peaks' own height are one; each takes the greatest.
-        touch = same.join(mark, "cell").join(mark.select(F.col("cell").alias("nb"), F.col("m").alias("n")), "nb").where("m <> n")
-        height = raster.select(F.col("cell").alias("m"), F.col("z").alias("mz"))
-        level = touch.join(raster.select("cell", "z"), "cell").join(height, "m").where("z = mz")
-        to = level.groupBy("m").agg(F.max("n").alias("n")).where("n > m")
-        to = checkpointed(to)
-        if not to.limit(1).count():
-            break
-        mark = checkpointed(mark.join(to, "m", "left").select("cell", F.coalesce("n", "m").alias("m")))
-    return mark.select("cell", F.col("m").alias("peak"))
-
-
 def point_clusters(y: DataFrame, clusters: DataFrame | None, g: int, **frame) -> DataFrame:
     """(id, cluster); without clusters every point is in cluster 1."""
     if clusters is None:

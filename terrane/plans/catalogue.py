@@ -6,13 +6,15 @@ kernel precision for all; random layouts have no SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane import sources
 from terrane.embed import layout
 from terrane.operators import calibration, covariates, landscape, merging, neighbours, pairs, preprocess, quality
-from terrane.session import checkpointed, rounded
+from terrane.session import checkpointed, rounded, shared_root
 
 from . import sql
 
@@ -88,6 +90,19 @@ def center_scale(spark, sf):
     return r6(pairs.center_scale(x_of(spark, sf)).select(F.col("id").alias("vec_id"), "dim", "v"), "v")
 
 
+def csv_positions(spark, sf):
+    """Parts written as CSV files in order of their keys, and read again: ids are the rows' positions."""
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    table(spark, sf, "part").repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey").select("p_size", "p_retailprice").write.csv(path, header=True)
+    return r6(sources.from_csv(spark, path).select("id", F.col("x")[0].alias("p_size"), F.col("x")[1].alias("p_retailprice")), "p_size", "p_retailprice")
+
+
+def mixture(spark, sf):
+    """A point of the seeded mixture for each customer."""
+    made = sources.example(spark, seed=4, ids=table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
+    return r6(made.select("id", "label", F.posexplode("x").alias("dim", "v")), "v")
+
+
 def label_factor(spark, sf):
     return pairs.label_factor(table(spark, sf, "customer"), "c_custkey", "c_mktsegment")
 
@@ -358,7 +373,7 @@ def box_stats(spark, sf):
 
 def box_stats_clusters(spark, sf):
     _, _, labels = _clustered(spark, sf)
-    return r6(covariates.box_stats_by(preprocess.whiten(x_of(spark, sf), 0, 4), labels), "lo", "q1", "med", "q3", "hi")
+    return r6(covariates.box_stats_by(x_of(spark, sf), labels), "lo", "q1", "med", "q3", "hi")
 
 
 def knp_curve(spark, sf):
@@ -434,7 +449,7 @@ QUERIES = {
         beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
         raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
         cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
-        quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
+        csv_positions, mixture, quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
     )
 }
 ORACLES: dict[str, str] = sql.ORACLES

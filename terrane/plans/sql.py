@@ -42,9 +42,13 @@ def levels(key: str, value: str, source: str, n: int = 8) -> str:
 
 
 def boxes(head: str, source: str, group: str, value: str, names: str) -> str:
-    return f"""{head} q AS (SELECT {group} AS g, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS med, quantile_cont({value}, 0.75) AS q3 FROM {source} GROUP BY g)
+    """Hinges as the medians of both halves, the middle value in each."""
+    return f"""{head} s AS (SELECT {group} AS g, {value} AS v FROM {source} WHERE {value} IS NOT NULL),
+    o AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS k, count(*) OVER (PARTITION BY g) AS n FROM s),
+    h AS (SELECT g, v, k, n, floor((n + 3) / 2) / 2 AS h FROM o),
+    q AS (SELECT g, avg(v) FILTER (k = floor(h) OR k = ceil(h)) AS q1, avg(v) FILTER (k = floor((n + 1) / 2) OR k = ceil((n + 1) / 2)) AS med, avg(v) FILTER (k = floor(n + 1 - h) OR k = ceil(n + 1 - h)) AS q3 FROM h GROUP BY g)
     SELECT {names}, {r('min(v)')} AS lo, {r('any_value(q1)')} AS q1, {r('any_value(med)')} AS med, {r('any_value(q3)')} AS q3, {r('max(v)')} AS hi
-    FROM (SELECT {group} AS g, {value} AS v FROM {source}) s JOIN q USING (g) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY g"""
+    FROM s JOIN q USING (g) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY g"""
 
 
 def draw(*parts: str) -> str:
@@ -52,6 +56,10 @@ def draw(*parts: str) -> str:
     return f"((('0x' || substr(md5({text}), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
 
 
+def normal(*parts: str) -> str:
+    return f"(sqrt(-2 * ln({draw(chr(39) + 'r' + chr(39), *parts)})) * cos(2 * pi() * {draw(chr(39) + 'a' + chr(39), *parts)}))"
+
+
 #: The Lambert value by Newton steps on w + ln(-w) = ln(-x), as columns w0, w1, ...
 def lambert(x: str, source: str, keep: str) -> str:
     start = f"CASE WHEN {x} < -1 / exp(1) OR {x} >= 0 THEN NULL WHEN {x} < -0.25 THEN -1 - sqrt(greatest(0, 2 * (1 + exp(1) * {x}))) ELSE ln(-{x}) - ln(-ln(-{x})) END"
@@ -120,6 +128,10 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT a.id, b.id, t.k, -t.v FROM x a JOIN x b ON a.id < b.id JOIN top t ON t.id = b.id) GROUP BY i, j, k) GROUP BY i, j""",
     "distance_source": f"WITH {Y}, d AS (SELECT a.id AS i, b.id AS j, sqrt(power(a.y1 - b.y1, 2) + power(a.y2 - b.y2, 2)) AS d FROM y a JOIN y b ON a.id < b.id) SELECT i, j, {r('d * d', 4)} AS sqdist FROM d",
     "center_scale": f"WITH {LONG}, c AS (SELECT id, dim, v - avg(v) OVER (PARTITION BY dim) AS v FROM long) SELECT id AS vec_id, dim, {r('v / (SELECT max(abs(v)) FROM c)')} AS v FROM c",
+    "csv_positions": f"SELECT row_number() OVER (ORDER BY p_partkey) AS id, {r('p_size::DOUBLE')} AS p_size, {r('p_retailprice::DOUBLE')} AS p_retailprice FROM part",
+    "mixture": f"""WITH l AS (SELECT c_custkey::BIGINT AS id, floor({draw("'4'", "'label'", "c_custkey::VARCHAR")} * 16)::INT AS label FROM customer),
+        d AS (SELECT id, label, dim::INT AS dim FROM l, range(4) t(dim))
+        SELECT id, label, dim, {r(f"""10 * {normal("'4'", "'centre'", "label::VARCHAR", "dim::VARCHAR")} + (0.5 + 1.5 * {draw("'4'", "'spread'", "label::VARCHAR")}) * {normal("'4'", "'x'", "id::VARCHAR", "dim::VARCHAR")}""")} AS v FROM d""",
     "label_factor": "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INT AS code FROM customer",
     "label_factor_brand": "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand)::INT AS code FROM part",
     "source_shape": "SELECT count(*) AS n, max(len(embedding))::BIGINT AS m FROM embeddings",
@@ -179,7 +191,7 @@ ORACLES: dict[str, str] = {
     "quantile_levels_few": "WITH d AS (SELECT v, round_even(row_number() OVER (ORDER BY v) * 8 / (count(*) OVER ()), 0)::INT AS level FROM (SELECT DISTINCT l_linenumber AS v FROM lineitem)) SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS key, level FROM lineitem JOIN d ON v = l_linenumber",
     "quantile_levels_events": levels("event_id", "value", "events"),
     "box_stats": boxes("WITH", "customer", "c_mktsegment", "c_acctbal", "g AS grp"),
-    "box_stats_clusters": boxes(f"WITH RECURSIVE {POINTS}, {LONG}, b AS (SELECT cluster, dim, v FROM long JOIN labels USING (id) WHERE dim < 4),", "b", "(cluster, dim)", "v", "g[1] AS cluster, g[2] AS dim"),
+    "box_stats_clusters": boxes(f"WITH RECURSIVE {POINTS}, {LONG}, b AS (SELECT cluster, dim, v FROM long JOIN labels USING (id)),", "b", "(cluster, dim)", "v", "g[1] AS cluster, g[2] AS dim"),
     "knp_curve": f"WITH {KNP} SELECT k, {r('q')} AS q, {r('r')} AS r FROM curve",
     "knp_auc": f"WITH {KNP} SELECT {r('sum(r * dk) / max(k)')} AS lin_auc, {r('sum(r / log10(k)) / sum(1 / log10(k))')} AS log_auc FROM (SELECT k, r, k - lag(k, 1, 1) OVER (ORDER BY k) AS dk FROM curve)",
     "hl_correlation": f"WITH {RANKS} SELECT {r('avg(c)')} AS mean_r FROM (SELECT i, corr(a.sqdist, b.sqdist) AS c FROM dist a JOIN ydist b USING (i, j) GROUP BY i)",

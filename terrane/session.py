@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +16,24 @@ def session(app: str = "terrane", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one in local tests without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_roots.get(spark.sparkContext.applicationId)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_roots[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="checkpoint-")
+    return root
+
+
+_local_roots: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder that ``spark.checkpoint.dir`` names (a temporary one in local tests)."""
+    """``df`` with its lineage cut, in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,19 @@ def dense(df: DataFrame, id_col: str, columns: list[str] | None = None, vector:
 
 
 def from_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Points of a CSV file with a header and numeric columns; ids follow the order of the file's rows."""
+    """Points of CSV files with a header and numeric columns; ids are the rows' positions from 1, files in order of their paths.
+
+    A piece of a file is one task's, so positions within pieces come from the reading order, and the pieces' counts, a row
+    each, give every piece its start.
+    """
     df = spark.read.csv(path, header=True, inferSchema=True)
-    x = F.array(*[F.col(c).cast("double") for c in columns or df.columns])
-    return df.select(F.monotonically_increasing_id().alias("id"), x.alias("x"))
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in columns or df.columns])
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), x.alias("x"), F.monotonically_increasing_id().alias("read"))
+    sums = rows.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    starts = sums.select("file", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("file", "at").orderBy("read"))
+    return rows.withColumn("place", place).join(starts, ["file", "at"]).select((F.col("start") + F.col("place")).alias("id"), "x")
 
 
 def from_distances(df: DataFrame, i: str = "i", j: str = "j", d: str = "d") -> DataFrame:
@@ -58,13 +67,27 @@ def duplicated(points: DataFrame) -> DataFrame:
     return points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1").select("id", "n")
 
 
-def example(spark: SparkSession, n: int = 5000, dims: int = 4, components: int = 16, seed: int = 1) -> DataFrame:
-    """A seeded Gaussian mixture: id, x, label. Centres have a deviation of 10, components one of 0.5 to 2."""
-    rng = np.random.default_rng(seed)
-    centres, spread = rng.normal(0, 10, (components, dims)), rng.uniform(0.5, 2, components)
-    label = rng.integers(0, components, n)
-    x = centres[label] + rng.normal(size=(n, dims)) * spread[label, None]
-    return spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(n)], "id bigint, x array<double>, label int")
+def draw(*parts: Column) -> Column:
+    """A uniform number from the md5 of its parts, the same in every engine."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def normal(*parts: Column) -> Column:
+    """A standard normal number from two draws, by the polar form of two uniform ones."""
+    return F.sqrt(-2 * F.log(draw(F.lit("r"), *parts))) * F.cos(2 * np.pi * draw(F.lit("a"), *parts))
+
+
+def example(spark: SparkSession, n: int = 5000, dims: int = 4, components: int = 16, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
+    """A seeded Gaussian mixture: id, x, label, for ids 0 to n - 1 or those of ``ids(id)``.
+
+    Centres have a deviation of 10, components one of 0.5 to 2. Every number hangs on the seed and the names of what it is
+    for, so rows are made where they are, in any order and number.
+    """
+    s, i, label = F.lit(str(seed)), F.col("id").cast("string"), F.col("label").cast("string")
+    rows = (spark.range(n) if ids is None else ids.select(F.col("id").cast("bigint").alias("id"))).withColumn("label", F.floor(draw(s, F.lit("label"), i) * components).cast("int"))
+    spread = 0.5 + 1.5 * draw(s, F.lit("spread"), label)
+    x = [10 * normal(s, F.lit("centre"), label, F.lit(str(d))) + spread * normal(s, F.lit("x"), i, F.lit(str(d))) for d in range(dims)]
+    return rows.select("id", F.array(*x).alias("x"), "label")
 
 
 def save(parts: dict[str, DataFrame], path: str) -> None:
