@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane import sources
 from terrane.embed import layout
+from terrane.mapping import Mapping
 from terrane.operators import calibration, covariates, landscape, merging, neighbours, pairs, preprocess, quality
 from terrane.session import checkpointed, rounded, shared_root
 
@@ -248,11 +249,11 @@ def point_cell(spark, sf):
 
 
 def cell_neighbours8(spark, sf):
-    return landscape.neighbours(landscape.cells(spark, 10), 10)
+    return landscape.neighbours(raster_of(spark, sf), G)
 
 
 def cell_neighbours4(spark, sf):
-    return landscape.neighbours(landscape.cells(spark, 10), 10, cross=True)
+    return landscape.neighbours(raster_of(spark, sf), G, cross=True)
 
 
 def raster_of(spark, sf) -> DataFrame:
@@ -326,7 +327,71 @@ def s2nr_merge(spark, sf):
 
 def s2nr_optk(spark, sf):
     m = _merge(spark, sf, 2)
-    return spark.createDataFrame([(k,) for k in merging.best_counts(m.steps)], "k int")
+    return spark.createDataFrame([(k,) for k in merging.best_counts(m)], "k int")
+
+
+def s2nr_pooled(spark, sf):
+    raster, c, labels = _clustered(spark, sf)
+    return r6(merging.candidates(merging.moments(x_of(spark, sf), labels), merging.fathers(raster, c, G)), "mean", "var")
+
+
+def s2nr_candidates(spark, sf):
+    raster, c, labels = _clustered(spark, sf)
+    return r6(merging.candidate_ratios(checkpointed(merging.moments(x_of(spark, sf), labels)), merging.fathers(raster, c, G)), "s2nr")
+
+
+def _adaptive(spark, sf) -> DataFrame:
+    """The layout with the precision that each point has in it for the target perplexity."""
+    return checkpointed(y_of(spark, sf).drop("beta").join(calibration.calibrate(y_points(spark, sf), PPX).select("id", "beta"), "id"))
+
+
+def pakde_adaptive(spark, sf):
+    return landscape.density(_adaptive(spark, sf), G).select("cell", (F.round(F.col("z") * 1e6, 3) + 0.0).alias("z"))
+
+
+def adaptive_clusters(spark, sf):
+    """Points by cluster of the map of adaptive precision."""
+    y = _adaptive(spark, sf)
+    c = landscape.watershed(checkpointed(landscape.density(y, G)), G)
+    return landscape.point_clusters(y, c, G).withColumnRenamed("id", "vec_id")
+
+
+def map_steps(spark, sf):
+    """All five steps: precision, chunk-parallel layout, adaptive density, clusters, merging; points by final cluster."""
+    m = Mapping.start(x_of(spark, sf), PPX, check=False).embed(seed=3).density(PPX, g=100).cluster().merge(5)
+    return m.point_labels(merged=True)
+
+
+def map_scatter(spark, sf):
+    own = Mapping(x_of(spark, sf), PPX, None, y_of(spark, sf).select("id", "label")).place(y_of(spark, sf).select("id", F.lit(1).alias("layer"), "y1", "y2"))
+    return r6(own.scatter(), "y1", "y2")
+
+
+def fuzzy_class_map(spark, sf):
+    return landscape.fuzzy_map(class_raster(spark, sf)).select("cell", "class", (F.round(F.col("p") * 1e6, 4) + 0.0).alias("p"))
+
+
+def _parts(spark, sf) -> DataFrame:
+    return sources.dense(table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"])
+
+
+def pca_parts(spark, sf):
+    """Principal variances of the parts' sizes and prices."""
+    long = sources.long_form(preprocess.whiten(_parts(spark, sf), 3))
+    return r6(long.groupBy("dim").agg(F.var_samp("v").alias("var")), "var", digits=4)
+
+
+def pca_parts_length(spark, sf):
+    """The squared length of each part after PCA whitening, which does not hang on signs."""
+    white = preprocess.whiten(_parts(spark, sf), 4)
+    return r6(white.select(F.col("id").alias("p_partkey"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("length")), "length")
+
+
+def knp_curves(spark, sf):
+    """Two layouts' curves: the first two dimensions, and the next two."""
+    e = F.col("embedding")
+    other = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(e[2].cast("double"), e[3].cast("double")).alias("x"))
+    return r6(quality.knp_curves(x_of(spark, sf), {"first": y_points(spark, sf), "next": other}, k_max=100), "q", "r")
 
 
 def class_raster(spark, sf) -> DataFrame:
@@ -449,7 +514,8 @@ QUERIES = {
         beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
         raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
         cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
-        csv_positions, mixture, quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
+        csv_positions, mixture, s2nr_pooled, s2nr_candidates, pakde_adaptive, adaptive_clusters, map_steps, map_scatter, fuzzy_class_map, pca_parts, pca_parts_length,
+        knp_curves, quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
     )
 }
 ORACLES: dict[str, str] = sql.ORACLES

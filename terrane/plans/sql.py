@@ -117,6 +117,17 @@ rx AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sqdist, j) AS rx
 met AS (SELECT greatest(rx, ry) AS rank, count(*) AS c FROM rx JOIN ry USING (i, j) GROUP BY ALL),
 curve AS (SELECT k, c / (k * n) AS q, greatest(ceil((n - 1) * (c / (k * n))) - k, 0) / (n - 1 - k) AS r FROM (SELECT k, n, (SELECT coalesce(sum(c), 0) FROM met WHERE rank <= k)::DOUBLE AS c FROM ks, n))"""
 
+KNP_100 = KNP.replace("log2(n - 5)", "log2(96)")
+COVARIANCE = "cov AS (SELECT var_samp(p_size) AS a, var_samp(p_retailprice) AS b, covar_samp(p_size, p_retailprice) AS c, avg(p_size) AS s, avg(p_retailprice) AS t FROM part)"
+FATHERS = """e AS (SELECT a.cluster, a.cell, ra.z, b.cell AS nb, rb.z AS nz, b.cluster AS other FROM shed a JOIN nb8 n ON n.cell = a.cell JOIN shed b ON b.cell = n.nb JOIN raster ra ON ra.cell = a.cell JOIN raster rb ON rb.cell = b.cell WHERE a.cluster <> b.cluster),
+up AS (SELECT cluster, arg_max(other, (z, -cell, nz, -nb)) AS father FROM e GROUP BY cluster), t AS (SELECT cluster, max(z) AS top FROM shed JOIN raster USING (cell) GROUP BY cluster),
+fathers AS (SELECT t.cluster, CASE WHEN u.top >= t.top THEN up.father ELSE t.cluster END AS father FROM t LEFT JOIN up ON up.cluster = t.cluster LEFT JOIN t u ON u.cluster = up.father)"""
+POOLED = f"""WITH RECURSIVE {MOMENTS}, {FATHERS}, both_ AS (SELECT f.cluster AS child, f.father, a.dim, a.n AS n1, b.n AS n2, a.mean AS m1, b.mean AS m2, a.var AS v1, b.var AS v2, (a.n * a.mean + b.n * b.mean) / (a.n + b.n) AS mean
+  FROM fathers f JOIN mom a ON a.cluster = f.cluster JOIN mom b ON b.cluster = f.father AND b.dim = a.dim WHERE f.cluster <> f.father),
+pooled AS (SELECT child, father, dim, n1 + n2 AS n, mean, (n1 * (v1 + m1 * m1 - mean * mean) + n2 * (v2 + m2 * m2 - mean * mean)) / (n1 + n2) AS var FROM both_)"""
+#: The layout's points with the precision they have in it.
+ADAPTIVE = calibrated(YNEAR.replace("y AS (", "y0 AS (", 1).replace("FROM y a, y b", "FROM y0 a, y0 b"), PPX, EMB_Q.format(Q)) + ", y AS (SELECT id, y1, y2, cal.beta, label FROM y0 JOIN cal USING (id))"
+
 ORACLES: dict[str, str] = {
     "pair_sqdist": f"WITH {X} SELECT a.id AS i, b.id AS j, {r(SQ)} AS sqdist FROM x a JOIN x b ON a.id < b.id",
     "nn_quantile": f"WITH {NEAR} SELECT i AS vec_id, {r('sqdist')} AS lq FROM near WHERE rank = {Q + 1}",
@@ -167,8 +178,19 @@ ORACLES: dict[str, str] = {
         SELECT axis, {G}::INT AS size, {r('lo')} AS min, {r('hi')} AS max, {r('hi - lo')} AS range, {r(f'{G} / (hi - lo)')} AS factor, {r(f'(SELECT sqrt(sum(power((hi - lo) / {G}, 2))) FROM a)')} AS diag FROM a""",
     "raster_bounds": f"WITH {FRAME} SELECT {r('x0')} AS x0, {r('x1')} AS x1, {r('y0')} AS y0, {r('y1')} AS y1, {r(AREA)} AS d FROM f",
     "point_cell": f"WITH {Y}, {BOX}, {PCELL} SELECT id AS vec_id, cx, cy, (cx + cy * {G})::BIGINT AS cell FROM pc",
-    "cell_neighbours8": "WITH c AS (SELECT cx, cy, (cx + cy * 10)::BIGINT AS cell FROM range(10) a(cx), range(10) b(cy)) SELECT a.cell, b.cell AS nb FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1",
-    "cell_neighbours4": "WITH c AS (SELECT cx, cy, (cx + cy * 10)::BIGINT AS cell FROM range(10) a(cx), range(10) b(cy)) SELECT a.cell, b.cell AS nb FROM c a JOIN c b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= 1",
+    "cell_neighbours8": f"WITH {RASTER}, {NB8} SELECT n.cell, n.nb FROM nb8 n JOIN raster r ON r.cell = n.cell JOIN raster s ON s.cell = n.nb",
+    "cell_neighbours4": f"WITH {RASTER} SELECT a.cell, b.cell AS nb FROM raster a JOIN raster b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) <= 1",
+    "pakde_adaptive": f"WITH RECURSIVE {ADAPTIVE}, {RASTER.removeprefix(Y + ', ')} SELECT cell, {r('z * 1e6', 3)} AS z FROM raster",
+    "adaptive_clusters": f"WITH RECURSIVE {ADAPTIVE}, {POINTS.removeprefix(Y + ', ')} SELECT id AS vec_id, cluster FROM labels",
+    "map_scatter": f"WITH {Y} SELECT id, {r('y1')} AS y1, {r('y2')} AS y2, label AS class FROM y",
+    "fuzzy_class_map": f"WITH {CLASSES} SELECT cell, class, CASE WHEN min(p) OVER w = max(p) OVER w THEN 0 ELSE {r('p * 1e6', 4)} END AS p FROM classed WINDOW w AS (PARTITION BY cell)",
+    "pca_parts": f"WITH {COVARIANCE} SELECT unnest([0, 1])::INT AS dim, {r('unnest([(a + b + root) / 2, (a + b - root) / 2])', 4)} AS var FROM (SELECT a, b, sqrt((a - b) * (a - b) + 4 * c * c) AS root FROM cov)",
+    "pca_parts_length": f"WITH {COVARIANCE} SELECT p_partkey, {r('(b * ds * ds - 2 * c * ds * dt + a * dt * dt) / (a * b - c * c)')} AS length FROM (SELECT p_partkey, p_size - s AS ds, p_retailprice - t AS dt FROM part, cov), cov",
+    "s2nr_pooled": f"{POOLED} SELECT child, father, dim, n, {r('mean')} AS mean, {r('var')} AS var FROM pooled",
+    "s2nr_candidates": f"""{POOLED}, g AS (SELECT dim, sum(n * mean) / sum(n) AS grand FROM mom GROUP BY dim), k AS (SELECT count(DISTINCT cluster) AS c, sum(n) FILTER (dim = 0) AS total FROM mom),
+        kept AS (SELECT p.child, p.father, m.dim, m.n, m.mean, m.var FROM (SELECT DISTINCT child, father FROM pooled) p JOIN mom m ON m.cluster <> p.child AND m.cluster <> p.father UNION ALL SELECT child, father, dim, n, mean, var FROM pooled)
+        SELECT child, father, {r('(sum(power(mean - grand, 2)) / any_value(c - 2)) / (sum(n * var) / any_value(total - c + 1))')} AS s2nr FROM kept JOIN g USING (dim), k GROUP BY child, father""",
+    "knp_curves": f"SELECT 'first' AS name, * FROM (WITH {KNP_100} SELECT k, {r('q')} AS q, {r('r')} AS r FROM curve) UNION ALL SELECT 'next', * FROM (WITH {KNP_100.replace('embedding[1]', 'embedding[3]').replace('embedding[2]', 'embedding[4]')} SELECT k, {r('q')} AS q, {r('r')} AS r FROM curve)",
     "pakde_raster": f"WITH {RASTER} SELECT cell, {r('z * 1e6', 4)} AS z FROM raster",
     "density_mass": f"WITH {RASTER} SELECT {r('sum(z)')} AS total FROM raster",
     "density_peaks": f"WITH {RASTER}, {NB8} SELECT r.cell, {r('any_value(r.z) * 1e6', 4)} AS z FROM raster r JOIN nb8 n ON n.cell = r.cell JOIN raster s ON s.cell = n.nb GROUP BY r.cell HAVING any_value(r.z) >= max(s.z)",

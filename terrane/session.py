@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def watched(spark: SparkSession, step: str):
+    """Yields a dict that at the end holds the step, its seconds, and the jobs, tasks and job seconds that it ran.
+
+    Jobs are told apart by a tag of their own, which Spark keeps with each of them, so other threads' jobs do not count.
+    """
+    context, tag, row = spark.sparkContext, f"{step}-{uuid.uuid4().hex[:12]}", {"step": step}
+    context.addJobTag(tag)
+    start = time.perf_counter()
+    try:
+        yield row
+    finally:
+        context.removeJobTag(tag)
+        row["seconds"] = time.perf_counter() - start
+        inner = context._jsc.sc()
+        inner.listenerBus().waitUntilEmpty()
+        jobs = inner.statusStore().jobsList(None)
+        own = [j for j in (jobs.apply(i) for i in range(jobs.size())) if j.jobTags().contains(tag)]
+        ended = [j for j in own if j.completionTime().isDefined() and j.submissionTime().isDefined()]
+        row["jobs"], row["tasks"] = len(own), sum(j.numCompletedTasks() for j in own)
+        row["job_seconds"] = sum(j.completionTime().get().getTime() - j.submissionTime().get().getTime() for j in ended) / 1000
+
+
 def rounded(name: str, digits: int = 6):
     """A double for comparison across engines: rounded, and without a negative zero."""
     return F.round(F.col(name), digits) + F.lit(0.0)
