@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators.neighbours import kernel, partners, within_bound
 from terrane.operators.pairs import block_matrices, block_pairs, block_size, count_of, ids_of, kind_of, over, pair_sqdist, sparse_block, sqdist
-from terrane.session import checkpointed
+from terrane.session import checkpointed, dropped, written
 from terrane.sources import draw
 
 from . import kernels, quadtree
@@ -175,7 +175,7 @@ def mtsne(
     else:
         out = Layout(None, list(before.costs), list(before.sizes), list(before.frames), before.state)
     bounds = [f(c).alias(n_) for c, a in (("y1", 1), ("y2", 2)) for f, n_ in ((F.min, f"low{a}"), (F.max, f"high{a}"))]
-    box = out.state.agg(*bounds).first() if n else None
+    box, done = out.state.agg(*bounds).first() if n else None, None
     for it in range(len(out.costs) + 1, (until if until is not None else iters) + 1):
         if n < 2:
             break
@@ -183,7 +183,7 @@ def mtsne(
         size = float(np.hypot(*(high - low)))
         push = repulsions(out.state, block or 2048) if theta < 0.33 else quadtree.repulsions(out.state, theta, low, high, n, block)
         met = out.state.join(push, "id").join(attractions(out.state, p), "id", "left").fillna(0.0, ["a1", "a2", "c"])
-        met = checkpointed(met)
+        met = written(met)
         whole = met.agg(F.sum("q").alias("z"), F.sum("c").alias("c")).first()
         c = float((np.log(whole["z"]) + (whole["c"] / total if total else 0.0)) / np.log(n * (n - 1.0)))
         last = out.costs[-1][2] if out.costs else np.inf
@@ -201,6 +201,9 @@ def mtsne(
             new |= {f"y{k}": F.col(f"y{k}") + update, f"u{k}": update, f"g{k}": gain}
         out.state = met.select("id", *[new[c].alias(c) for c in STATE])  # one step on rows that are written out
         box = out.state.agg(*bounds).first()
+        if not out.frames:  # frames read the rounds that they are of
+            dropped(done)
+        done = met
         if frames and it % every == 0:
             out.frames.append(out.state.select("id", F.lit(1).alias("layer"), "y1", "y2", F.lit(it).alias("epoch")))
     out.y = out.state.select("id", F.lit(1).alias("layer"), "y1", "y2")

@@ -40,6 +40,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of Parquet in the shared folder, for long loops: nothing of its plan is left, not even the
+    constraints that a checkpoint keeps and that double with every round. ``dropped`` frees it.
+    """
+    path = f"{shared_root(df.sparkSession)}/loop-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(table: DataFrame | None) -> None:
+    if table is not None:
+        spark = table.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextlib.contextmanager
 def watched(spark: SparkSession, step: str):
     """Yields a dict that at the end holds the step, its seconds, and the jobs, tasks and job seconds that it ran.
