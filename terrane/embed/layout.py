@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.neighbours import kernel, partners, within_bound
@@ -17,6 +17,15 @@ from terrane.sources import draw
 from . import kernels, quadtree
 
 
+#: Points a chunk at most, where the number of chunks is not given.
+CHUNK = 20_000
+
+
+def chunk_count(n: int, layers: int = 2) -> int:
+    """Chunks of at most some ``CHUNK`` points, four at the least."""
+    return max(4, -(-n * layers // CHUNK))
+
+
 def scheme(n: int, threads: int = 4, layers: int = 2) -> dict:
     """Points a chunk, epochs, and iterations an epoch."""
     z = n * layers / threads
@@ -70,47 +79,76 @@ def _epoch(points: DataFrame, betas: DataFrame, y: DataFrame, assigned: DataFram
     kind, schema = kind_of(points), "id bigint, layer int, y1 double, y2 double, worker int, cost double"
     rows = assigned.join(y, ["id", "layer"]).join(betas.select("id", "beta", "znorm"), "id")
 
-    def improve(f: pd.DataFrame, sq: np.ndarray) -> pd.DataFrame:
-        pos = f[["y1", "y2"]].to_numpy()
-        pick, p = kernels.affinities(sq, f["beta"].to_numpy(), f["znorm"].to_numpy(), min(size, len(f) - 1))
-        pos, c = kernels.run_chunk(pos, pick, p, iters, eta, alpha, theta)
+    def improve(f: pd.DataFrame, pick: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+        pos, c = kernels.run_chunk(f[["y1", "y2"]].to_numpy(), pick, p, iters, eta, alpha, theta)
         return pd.DataFrame({"id": f["id"], "layer": f["layer"], "y1": pos[:, 0], "y2": pos[:, 1], "worker": f["worker"], "cost": c})
 
     def of_points(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["layer", "id"], ignore_index=True)
         if kind == "dense":
             x = np.stack(f["x"].to_numpy())
-            return improve(f, sqdist(x, x))
-        packed = (f["x"].map(len).to_numpy(), np.concatenate([list(m) for m in f["x"]]), np.concatenate([list(m.values()) for m in f["x"]]))
-        return improve(f, sparse_block(packed, packed))
+            near = lambda part: sqdist(x[part], x)
+        else:
+            sizes = f["x"].map(len).to_numpy()
+            keys, values = (np.concatenate([list(get(m)) for m in f["x"]]) for get in (dict.keys, dict.values))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
 
-    def of_distances(f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+            def near(part: slice) -> np.ndarray:
+                held = slice(ends[part.start], ends[min(part.stop, len(f))])
+                return sparse_block((sizes[part], keys[held], values[held]), (sizes, keys, values))
+
+        beta, znorm = f["beta"].to_numpy(), f["znorm"].to_numpy()
+        return improve(f, *kernels.affinities(near, beta, znorm, min(size, len(f) - 1)))
+
+    def of_partners(f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["layer", "id"], ignore_index=True)
         if not len(f):
             return pd.DataFrame(columns=["id", "layer", "y1", "y2", "worker", "cost"])
-        ids = np.unique(f["id"].to_numpy())
-        near = np.zeros((len(ids), len(ids)))
-        i, j = np.searchsorted(ids, d["i"].to_numpy()), np.searchsorted(ids, d["j"].to_numpy())
-        near[i, j] = near[j, i] = d["sqdist"].to_numpy()
-        at = np.searchsorted(ids, f["id"].to_numpy())
-        return improve(f, near[np.ix_(at, at)])
+        place = pd.Series(np.arange(len(f)), index=f["id"])
+        i, j, rank = place[d["i"]].to_numpy(), place[d["j"]].to_numpy(), d["rank"].to_numpy() - 1
+        # A point that lacks partners has itself instead, infinitely far away, which moves nothing.
+        pick = np.repeat(np.arange(len(f))[:, None], min(size, len(f) - 1), axis=1)
+        far = np.full(pick.shape, np.inf)
+        pick[i, rank], far[i, rank] = j, d["sqdist"].to_numpy()
+        return improve(f, pick, kernels.shares(pick, far, f["beta"].to_numpy(), f["znorm"].to_numpy()))
 
     if kind != "distances":
         return rows.join(points.select("id", "x"), "id").groupBy("worker").applyInPandas(of_points, schema)
-    who = assigned.select("worker", "id").distinct()
-    one, two = (who.select(F.col("worker").alias(w), F.col("id").alias(c)) for w, c in (("worker", "i"), ("w2", "j")))
-    given = pair_sqdist(points).join(one, "i").join(two, "j").where("worker = w2")
-    return rows.groupBy("worker").cogroup(given.select("worker", "i", "j", "sqdist").groupBy("worker")).applyInPandas(of_distances, schema)
+    best = chunk_partners(points, betas, assigned, size)
+    return rows.groupBy("worker").cogroup(best.groupBy("worker")).applyInPandas(of_partners, schema)
 
 
-def ptsne(points: DataFrame, betas: DataFrame, ppx: int, theta: float = 0.5, threads: int = 4, layers: int = 2, seed: int = 0, y: DataFrame | None = None, epochs: int | None = None, iters: int | None = None, frames: bool = False, before: Layout | None = None) -> Layout:
-    """Chunk-parallel t-SNE. ``threads`` is the number of chunks: take it so that a chunk has a few thousand points."""
-    layers = min(layers, threads)
+def chunk_partners(points: DataFrame, betas: DataFrame, assigned: DataFrame, size: int) -> DataFrame:
+    """(worker, i, j, sqdist, rank): each point's ``size`` best partners among its worker's points, of a table of distances.
+
+    Best by the sum of both ends' kernels; of equals the one of the lower layer, then of the lesser id. Pairs that the table
+    lacks are no partners.
+    """
+    who = assigned.join(betas.select("id", "beta", "znorm"), "id")
+    one, two = (who.select(F.col("worker").alias(w), F.col("id").alias(e), F.col("layer").alias(f"l{e}"), F.col("beta").alias(f"b{e}"), F.col("znorm").alias(f"z{e}")) for w, e in (("worker", "i"), ("w2", "j")))
+    given = pair_sqdist(points)
+    both = given.select("i", "j", "sqdist").unionByName(given.select(F.col("j").alias("i"), F.col("i").alias("j"), "sqdist")).where("i <> j")
+    score = F.exp(-F.col("bi") * F.col("sqdist")) / F.col("zi") + F.exp(-F.col("bj") * F.col("sqdist")) / F.col("zj")
+    met = both.join(one, "i").join(two, "j").where("worker = w2").withColumn("score", score)
+    order = Window.partitionBy("worker", "i").orderBy(F.desc("score"), "lj", "j")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("worker", "i", "j", "sqdist", "rank")
+
+
+def ptsne(points: DataFrame, betas: DataFrame, ppx: int, theta: float = 0.5, threads: int | None = None, layers: int = 2, seed: int = 0, y: DataFrame | None = None, epochs: int | None = None, iters: int | None = None, frames: bool = False, before: Layout | None = None) -> Layout:
+    """Chunk-parallel t-SNE. ``threads`` is the number of chunks, without which a chunk has at most some ``CHUNK`` points.
+
+    A chunk is a task: its memory grows with its points times their partners, its time with the square of its points. Partners
+    get fewer as chunks do get more; where none would be left a greater perplexity or ``mtsne`` is asked for.
+    """
     theta = bounded(theta)
     n = count_of(points)
+    threads = threads or chunk_count(n, layers)
+    layers = min(layers, threads)
     plan = scheme(n, threads, layers)
     total, per = plan["epochs"], iters if iters is not None else plan["iters"]
     size = nn_size(n, ppx, threads, layers)
+    if size < 1 < n * layers / threads:
+        raise ValueError(f"perplexity {ppx} leaves no partners in {threads} chunks: give a greater one, or lay out by mtsne")
     ids = ids_of(points)
     out = before or Layout(checkpointed(y if y is not None else initial(ids, layers, seed)))
     first = 0 if before is None else max((e for e, *_ in out.costs), default=0) + 1
