@@ -103,7 +103,7 @@ WITH d AS (
   FROM (SELECT row, unnest(lines) AS line FROM d)
 ), stay AS (
   SELECT row, sum(n) AS n_kept_words FROM judged
-  WHERE NOT (n <= {NOTICE} AND regexp_matches(lower(line), '{_NOTICES}')) AND NOT (bars >= greatest(2, n / 6) OR marks > n / 4 OR (n >= 4 AND upper_ > lower_)
+  WHERE NOT (regexp_matches(lower(line), '{_NOTICES}') AND n <= {NOTICE} * len(regexp_extract_all(lower(line), '{_NOTICES}'))) AND NOT (bars >= greatest(2, n / 6) OR marks > n / 4 OR (n >= 4 AND upper_ > lower_)
     OR (n < 5 AND NOT regexp_matches(line, '[.!?:;…"''”’»)\]]\s*$'))) GROUP BY row
 ), base AS (
   SELECT row, doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,

@@ -2,7 +2,8 @@
 
 A line fails as *navigation* (a row of items between bars), *symbols* (marks in every few words), *shouting* (capital
 letters outnumber small ones in a line of some length), *punctuation* (a short fragment that no sentence mark ends)
-or *boilerplate* (a line of at most ``NOTICE`` words that gives a licence, reserves rights or asks for cookies or scripts).
+or *boilerplate* (a line, of any length, with a phrase that gives a licence, reserves rights or asks for cookies or scripts in every
+``NOTICE`` of its words).
 Lines without a word are neither kept nor counted. A document is rejected if the lines that fail hold more than half of
 its words, or if no line is left.
 
@@ -26,6 +27,7 @@ BOILERPLATE = (
     "lizenziert unter", "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "sous licence", "tous droits réservés", "politique de confidentialité", "bajo licencia",
     "todos los derechos reservados", "política de privacidad", "uso de cookies",
 )
+#: Words of a line for each of its phrases, at most: a sentence or two of a notice.
 NOTICE = 40
 ENDS = r"""[.!?:;…"'”’»)\]]\s*$"""
 WORD = r"[^\x20\x09-\x0D]"
@@ -37,7 +39,8 @@ def _only(text: Column, keep: str) -> Column:
 
 
 def is_notice(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(BOILERPLATE)) & (F.size(words(line)) <= NOTICE)
+    low, phrases = F.lower(line), "|".join(BOILERPLATE)
+    return low.rlike(phrases) & (F.size(words(line)) <= NOTICE * F.regexp_count(low, F.lit(phrases)))
 
 
 def is_junk(line: Column) -> Column:

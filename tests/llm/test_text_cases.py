@@ -168,6 +168,15 @@ def test_notices_count_as_lost(spark):
     assert not got[1]["kept"] and got[1]["n_lost_words"] > 500 and got[2]["kept"] and got[2]["n_lost_words"] == 5 and got[3]["n_lost_words"] == 0
 
 
+def test_long_notices_are_notices(spark):
+    """By the phrases among a line's words, at any length; a single one in a long paragraph makes no notice of it."""
+    notice = "This work is licensed under terms of use that we set out in the next few lines of text, all rights reserved by us."
+    some = prose(random.Random(3), 400, 10**6) + ".\n"
+    rows = [(k, some + " ".join([notice] * k)) for k in (1, 2, 5, 40)] + [(0, some + prose(random.Random(4), 60, 10**6) + " privacy policy.")]
+    got = {r["doc_id"]: r["n_lost_words"] for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0} | {k: k * len(notice.split()) for k in (1, 2, 5, 40)}
+
+
 def test_verdict_by_brute_force(spark):
     """Line by line in Python, over made lines of every kind."""
     rng = random.Random(7)
