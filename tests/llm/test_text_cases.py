@@ -69,6 +69,19 @@ def test_stages_take_tables_without_rows_and_null_texts(spark, tmp_path):
         assert d.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
 
 
+def test_stages_keep_clashing_columns(spark, crowded, tmp_path):
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = crowded
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = Scratch(spark, "t").write(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == crowded.columns
+        rows = docs.collect()
+        assert rows and all(r[c] == i for r in rows for i, c in enumerate(CLASHES))
+    manifest = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert manifest.count() == len(rows) and None not in {r["doc_id"] for r in rows}
+
+
 def test_label_model_finds_rates_and_correlations():
     """Simulated voters of known accuracy, two of which copy each other; no row is pinned to its given label."""
     rng = np.random.default_rng(1)
