@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows below the shared
 folder and reads them again as the next one's input. All but the last return the columns they were given.
+
+Cases: null and wordless texts are scored like any other, are near copies of each other, hold no benchmark passage and are not
+taken by the mix. A null doc_id comes last among near copies; a null source is a source of its own. Rows equal in doc_id and
+text are copies, of which one stays; of equal rows that come to the mix all or none are taken. Very long texts are read whole.
+Tables without rows pass through all stages. Columns besides those named in a stage stay, whatever they are called.
 """
 
 from __future__ import annotations
