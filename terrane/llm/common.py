@@ -88,6 +88,26 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key's slice in ``sliced_join`` holds at least this many rows, and at least one in ``SLICES`` of all.
+SLICE_ROWS, SLICES = 20_000, 4_096
+
+
+def sliced_join(rows: DataFrame, counted: DataFrame, on: list[str], spread: list[str], least: int = SLICE_ROWS, hint: str | None = None) -> DataFrame:
+    """``rows`` whose key ``on`` is among ``counted(on..., n)``, a written table of keys and how many of the rows each has.
+
+    A key of many rows is dealt, by a hash of ``spread``, to slices of about one size, and its row of ``counted`` goes to
+    each of them, so no key is one task's work. As the counts add up to the total, at most ``SLICES`` keys can have more
+    than one slice; they alone are broadcast.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    size = max(least, -(-total // SLICES))
+    slices = F.ceil(F.col("n") / size).cast("int")
+    many = counted.where(F.col("n") > size).select(*on, slices.alias("_slices"))
+    keys = counted.select(*on, F.lit(0).alias("_slice")).unionByName(many.select(*on, F.explode(F.sequence(F.lit(1), F.col("_slices") - 1)).alias("_slice")))
+    dealt = rows.join(F.broadcast(many), on, "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")).cast("int"), F.lit(0)))
+    return dealt.drop("_slices").join(keys.hint(hint) if hint else keys, [*on, "_slice"]).drop("_slice")
+
+
 def running_sum(scratch: Scratch, df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows up to and including this one in the total order ``order``.
 

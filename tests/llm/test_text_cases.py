@@ -310,3 +310,29 @@ def test_all_pages_of_a_layout_make_its_wrapper(spark):
     for i in range(60):
         first = "Second edition" if i in (17, 41) else "First edition"
         assert got[i] == f"Title t{i}\n{first}\nBody t{i} of its own, long enough to be more than the rest."
+
+
+def test_a_key_of_many_rows_is_met_in_slices(spark):
+    keys = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 700)
+    rows = spark.range(9000).select(keys.alias("k"), F.col("id").alias("at"))
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 12")
+    plain = rows.join(counted.select("k"), "k")
+    got = common.sliced_join(rows, counted, ["k"], ["at"], least=200)
+    assert got.columns == ["k", "at"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    # What goes by one hash to a task: key and slice.
+    dealt = rows.where("k = -1").groupBy(F.pmod(F.xxhash64("at"), F.lit(15))).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert dealt[1] == 15 and dealt[0] < 300
+    assert "_slice" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert common.sliced_join(rows, counted.where("1 = 0"), ["k"], ["at"]).count() == 0
+
+
+@pytest.mark.parametrize("least", [3, 20_000])
+def test_substrings_met_in_slices_are_the_same(spark, monkeypatch, least):
+    rng = random.Random(8)
+    passage, many = prose(rng, 60), 10**9  # words of so many are not shared by chance
+    texts = [prose(rng, 30, many) + " " + passage + " " + prose(rng, 25, many) for _ in range(40)] + [passage] * 5 + [prose(rng, 80, many) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common.sliced_join, "__defaults__", (least, None))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(spark, docs, ["doc_id"]).collect()}
+    assert all(got[i] == (115, 60) for i in range(40)) and all(got[i] == (60, 60) for i in range(40, 45)) and all(got[i] == (80, 0) for i in range(45, 55))
