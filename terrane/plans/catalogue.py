@@ -367,6 +367,16 @@ def map_scatter(spark, sf):
     return r6(own.scatter(), "y1", "y2")
 
 
+def class_map(spark, sf):
+    """All that a plot of the map and its classes shows, a row a cell."""
+    y = checkpointed(y_of(spark, sf))
+    classes = y.select("id", "label")
+    raster = checkpointed(landscape.density(y, G))
+    own = Mapping(x_of(spark, sf), PPX, None, classes, g=G, raster=raster, clusters=checkpointed(landscape.watershed(raster, G)), kernel=y.drop("label"))
+    shown = r6(own.class_map(classes), "gx", "gy").fillna(-1, ["class"]).fillna(0.0, ["p"])
+    return shown.withColumns({c: F.round(F.col(c) * 1e6, 4) + 0.0 for c in ("z", "p")})
+
+
 def fuzzy_class_map(spark, sf):
     return landscape.fuzzy_map(class_raster(spark, sf)).select("cell", "class", (F.round(F.col("p") * 1e6, 4) + 0.0).alias("p"))
 
@@ -514,7 +524,7 @@ QUERIES = {
         beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
         raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
         cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
-        csv_positions, mixture, s2nr_pooled, s2nr_candidates, pakde_adaptive, adaptive_clusters, map_steps, map_scatter, fuzzy_class_map, pca_parts, pca_parts_length,
+        csv_positions, mixture, s2nr_pooled, s2nr_candidates, pakde_adaptive, adaptive_clusters, map_steps, map_scatter, class_map, fuzzy_class_map, pca_parts, pca_parts_length,
         knp_curves, quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
     )
 }

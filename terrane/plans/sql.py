@@ -183,6 +183,11 @@ ORACLES: dict[str, str] = {
     "pakde_adaptive": f"WITH RECURSIVE {ADAPTIVE}, {RASTER.removeprefix(Y + ', ')} SELECT cell, {r('z * 1e6', 3)} AS z FROM raster",
     "adaptive_clusters": f"WITH RECURSIVE {ADAPTIVE}, {POINTS.removeprefix(Y + ', ')} SELECT id AS vec_id, cluster FROM labels",
     "map_scatter": f"WITH {Y} SELECT id, {r('y1')} AS y1, {r('y2')} AS y2, label AS class FROM y",
+    "class_map": f"""WITH RECURSIVE {SHED}, {CLASSES.removeprefix(f"{FRAME}, {CELLS}, ")}, t AS (SELECT cell, sum(p) AS s, min(p) AS lo, max(p) AS hi, arg_max(class, (p, class)) AS best FROM classed GROUP BY cell),
+        h AS (SELECT cell, best AS class FROM t WHERE lo < hi AND s > (SELECT min(s) + (max(s) - min(s)) / 16 FROM t)),
+        rim AS (SELECT DISTINCT a.cell FROM shed a JOIN cells ca ON ca.cell = a.cell JOIN cells cb ON abs(ca.cx - cb.cx) + abs(ca.cy - cb.cy) = 1 JOIN shed b ON b.cell = cb.cell WHERE a.cluster <> b.cluster)
+        SELECT cell, {r(f'f.x0 + raster.cx * ((f.x1 - f.x0) / {G - 1})')} AS gx, {r(f'f.y0 + raster.cy * ((f.y1 - f.y0) / {G - 1})')} AS gy, {r('z * 1e6', 4)} AS z, cluster, rim.cell IS NOT NULL AS border, cell = peak AS peak,
+        coalesce(h.class, -1) AS class, coalesce({r('p * 1e6', 4)}, 0.0) AS p FROM raster JOIN shed USING (cell) LEFT JOIN rim USING (cell) LEFT JOIN h USING (cell) LEFT JOIN classed USING (cell, class), f""",
     "fuzzy_class_map": f"WITH {CLASSES} SELECT cell, class, CASE WHEN min(p) OVER w = max(p) OVER w THEN 0 ELSE {r('p * 1e6', 4)} END AS p FROM classed WINDOW w AS (PARTITION BY cell)",
     "pca_parts": f"WITH {COVARIANCE} SELECT unnest([0, 1])::INT AS dim, {r('unnest([(a + b + root) / 2, (a + b - root) / 2])', 4)} AS var FROM (SELECT a, b, sqrt((a - b) * (a - b) + 4 * c * c) AS root FROM cov)",
     "pca_parts_length": f"WITH {COVARIANCE} SELECT p_partkey, {r('(b * ds * ds - 2 * c * ds * dt + a * dt * dt) / (a * b - c * c)')} AS length FROM (SELECT p_partkey, p_size - s AS ds, p_retailprice - t AS dt FROM part, cov), cov",
