@@ -322,7 +322,12 @@ def _merge(spark, sf, k: int):
 
 def s2nr_merge(spark, sf):
     m = _merge(spark, sf, 5)
-    return spark.createDataFrame(m.steps, "step int, child int, father int, s2nr double, level int")
+    return r6(spark.createDataFrame(m.steps, "step int, child int, father int, s2nr double, level int"), "s2nr")
+
+
+def merge_trace(spark, sf):
+    """The ratio from all clusters down to five, and its drops."""
+    return r6(Mapping(x_of(spark, sf), PPX, None, merged=_merge(spark, sf, 5)).merge_trace(), "s2nr", "drop").fillna(0.0, ["drop"])
 
 
 def s2nr_optk(spark, sf):
@@ -523,7 +528,7 @@ QUERIES = {
         beta_calibration_distance, beta_calibration_sparse, global_affinity_sparse, normalised_distances, mtsne_tree_map, ptsne_distance_map, ptsne_sparse_map, covariate_maps, neighbour_check,
         beta_many_perplexities, embed_scheme, chunk_assignment, layout_start, local_affinity, tsne_one_step, tsne_cost, global_affinity, embedding_size, layer_average, grid_frame,
         raster_bounds, point_cell, cell_neighbours8, cell_neighbours4, pakde_raster, density_mass, density_peaks, watershed_cells, cluster_peaks, point_clusters, cluster_borders,
-        cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
+        cluster_moments, cluster_fathers, s2nr_value, s2nr_merge, merge_trace, s2nr_optk, class_density, class_conditional, hard_class_map, quantile_levels, quantile_levels_size,
         csv_positions, mixture, s2nr_pooled, s2nr_candidates, pakde_adaptive, adaptive_clusters, map_steps, map_scatter, class_map, fuzzy_class_map, pca_parts, pca_parts_length,
         knp_curves, quantile_levels_few, quantile_levels_events, precision_levels, box_stats, box_stats_clusters, knp_curve, knp_auc, hl_correlation, ptsne_map, ptsne_restart, mtsne_map,
     )

@@ -125,6 +125,20 @@ fathers AS (SELECT t.cluster, CASE WHEN u.top >= t.top THEN up.father ELSE t.clu
 POOLED = f"""WITH RECURSIVE {MOMENTS}, {FATHERS}, both_ AS (SELECT f.cluster AS child, f.father, a.dim, a.n AS n1, b.n AS n2, a.mean AS m1, b.mean AS m2, a.var AS v1, b.var AS v2, (a.n * a.mean + b.n * b.mean) / (a.n + b.n) AS mean
   FROM fathers f JOIN mom a ON a.cluster = f.cluster JOIN mom b ON b.cluster = f.father AND b.dim = a.dim WHERE f.cluster <> f.father),
 pooled AS (SELECT child, father, dim, n1 + n2 AS n, mean, (n1 * (v1 + m1 * m1 - mean * mean) + n2 * (v2 + m2 * m2 - mean * mean)) / (n1 + n2) AS var FROM both_)"""
+#: Greedy merging to {TO} clusters by its ratio, within the first level of fathers (the given tables need no other to five); ``label`` has each cluster's present one.
+#: Of clusters joined, sums of n and n * mean give the ratio: the squares of all points together stay as they are.
+MERGED = f"""WITH RECURSIVE {MOMENTS}, {FATHERS}, g AS (SELECT dim, sum(n * mean) / sum(n) AS grand FROM mom GROUP BY dim),
+whole AS (SELECT sum(n) FILTER (dim = 0) AS total, sum(n * (var + mean * mean)) AS squares, (SELECT count(*) FROM ids) AS k FROM mom),
+kids AS (SELECT i.cluster, f.father, coalesce((SELECT list(h.cluster) FROM fathers h WHERE h.father = i.cluster AND h.cluster <> h.father), []) AS kids FROM ids i JOIN fathers f USING (cluster) WHERE f.father <> f.cluster),
+walk AS (SELECT 0 AS step, (SELECT list(cluster ORDER BY cluster) FROM ids) AS label, 0 AS child, 0 AS father,
+    (SELECT (sum(power(mean - grand, 2)) / (count(DISTINCT cluster) - 1)) / (sum(n * var) / (any_value(total) - count(DISTINCT cluster))) FROM mom JOIN g USING (dim), whole) AS s2nr
+  UNION ALL SELECT step + 1, list_transform(any_value(label), lambda v: CASE WHEN v = arg_max(child, (round(ratio, 12), -child)) THEN arg_max(father, (round(ratio, 12), -child)) ELSE v END),
+    arg_max(child, (round(ratio, 12), -child)), arg_max(father, (round(ratio, 12), -child)), max(ratio)
+  FROM (SELECT step, any_value(label) AS label, child, father, (sum(power(s / n - grand, 2)) / (count(DISTINCT root) - 1)) / ((any_value(squares) - sum(s * s / n)) / (any_value(total) - count(DISTINCT root))) AS ratio
+    FROM (SELECT step, any_value(label) AS label, child, father, CASE WHEN label[cluster] = child THEN father ELSE label[cluster] END AS root, dim, sum(n) AS n, sum(n * mean) AS s
+      FROM (SELECT w.step, w.label, c.cluster AS child, c.father FROM walk w, whole, kids c
+        WHERE w.step < whole.k - {{TO}} AND w.label[c.cluster] = c.cluster AND len(list_filter(c.kids, lambda v: w.label[v] = v)) = 0) cand, mom
+      GROUP BY step, child, father, root, dim) joined JOIN g USING (dim), whole GROUP BY step, child, father) scored GROUP BY step)"""
 #: The layout's points with the precision they have in it.
 ADAPTIVE = calibrated(YNEAR.replace("y AS (", "y0 AS (", 1).replace("FROM y a, y b", "FROM y0 a, y0 b"), PPX, EMB_Q.format(Q)) + ", y AS (SELECT id, y1, y2, cal.beta, label FROM y0 JOIN cal USING (id))"
 
@@ -192,6 +206,9 @@ ORACLES: dict[str, str] = {
     "pca_parts": f"WITH {COVARIANCE} SELECT unnest([0, 1])::INT AS dim, {r('unnest([(a + b + root) / 2, (a + b - root) / 2])', 4)} AS var FROM (SELECT a, b, sqrt((a - b) * (a - b) + 4 * c * c) AS root FROM cov)",
     "pca_parts_length": f"WITH {COVARIANCE} SELECT p_partkey, {r('(b * ds * ds - 2 * c * ds * dt + a * dt * dt) / (a * b - c * c)')} AS length FROM (SELECT p_partkey, p_size - s AS ds, p_retailprice - t AS dt FROM part, cov), cov",
     "s2nr_pooled": f"{POOLED} SELECT child, father, dim, n, {r('mean')} AS mean, {r('var')} AS var FROM pooled",
+    "s2nr_merge": f"{MERGED.format(TO=5)} SELECT step, child, father, {r('s2nr')} AS s2nr, 1 AS level FROM walk WHERE step > 0",
+    "s2nr_optk": f"{MERGED.format(TO=2)}, fall AS (SELECT step, s2nr - lead(s2nr) OVER (ORDER BY step) AS drop FROM walk) SELECT (k - arg_max(step, (drop, -step)))::INT AS k FROM fall, whole WHERE drop IS NOT NULL GROUP BY k",
+    "merge_trace": f"{MERGED.format(TO=5)} SELECT step, (k - step)::INT AS clusters, {r('s2nr')} AS s2nr, 1 AS level, coalesce({r('s2nr - lead(s2nr) OVER (ORDER BY step)')}, 0.0) AS drop FROM walk, whole",
     "s2nr_candidates": f"""{POOLED}, g AS (SELECT dim, sum(n * mean) / sum(n) AS grand FROM mom GROUP BY dim), k AS (SELECT count(DISTINCT cluster) AS c, sum(n) FILTER (dim = 0) AS total FROM mom),
         kept AS (SELECT p.child, p.father, m.dim, m.n, m.mean, m.var FROM (SELECT DISTINCT child, father FROM pooled) p JOIN mom m ON m.cluster <> p.child AND m.cluster <> p.father UNION ALL SELECT child, father, dim, n, mean, var FROM pooled)
         SELECT child, father, {r('(sum(power(mean - grand, 2)) / any_value(c - 2)) / (sum(n * var) / any_value(total - c + 1))')} AS s2nr FROM kept JOIN g USING (dim), k GROUP BY child, father""",
