@@ -17,3 +17,29 @@ def test_search_gives_back_a_points_first_few(spark, monkeypatch):
     x[40:60] = x[3]
     assert found(neighbours.nearest(frame(spark, x), 5, block=26)) == brute(x, 5)
     assert sizes and max(sizes) <= 5 * len(x)
+
+
+def test_correlation_from_moments(spark):
+    """Of all pairs' distances, but without a row or a block for a pair; also with a feature that does not vary, and far points."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(150, 5)) * 3 + 40, rng.normal(size=(150, 2))
+    x[:, 2], x[9], y[:, 0] = 7.3, x[9] * 20, y[:, 0] + x[:, 0]
+    far = [((p[:, None] - p[None]) ** 2).sum(axis=2) for p in (x, y)]
+    want = [np.corrcoef(a, b)[0, 1] for a, b in zip(*far)]
+    r = quality.hl_correlation(frame(spark, x), frame(spark, y))
+    assert [v["r"] for v in r.orderBy("id").collect()] == pytest.approx(want, abs=1e-10)
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_ranks_move_no_pairs(spark, monkeypatch):
+    """What tasks give back is a row a size and task, and what they are given a block for each group."""
+    seen, inner = [], quality.streamed
+    monkeypatch.setattr(quality, "streamed", lambda *a: seen.append(inner(*a)) or seen[-1])
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    curve = {r["k"]: r["q"] for r in quality.knp(frame(spark, x), frame(spark, x[:, :2])).collect()}
+    groups = 2 * spark.sparkContext.defaultParallelism
+    assert seen[0].where("side = 1").count() <= groups * seen[0].where("side = 0").count()
+    near = [np.argsort(((p[:, None] - p[None]) ** 2).sum(axis=2), axis=1, kind="stable") for p in (x, x[:, :2])]
+    for k in (2, 17, 200):
+        if k in curve:
+            assert curve[k] == pytest.approx(np.mean([len(set(a[:k]) & set(b[:k])) for a, b in zip(*near)]) / k)
