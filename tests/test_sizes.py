@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from terrane.embed import kernels, layout
 from terrane.operators import neighbours, quality
 
 from test_neighbours import brute, found, frame
@@ -43,3 +44,14 @@ def test_all_ranks_move_no_pairs(spark, monkeypatch):
     for k in (2, 17, 200):
         if k in curve:
             assert curve[k] == pytest.approx(np.mean([len(set(a[:k]) & set(b[:k])) for a, b in zip(*near)]) / k)
+
+
+def test_repulsion_gives_back_a_row_a_point(spark):
+    """Not one for each block that a point meets, to be added up after another shuffle."""
+    y = np.random.default_rng(6).normal(size=(120, 2)) * 4
+    places = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(y)], "id long, y1 double, y2 double")
+    r = layout.repulsions(places, block=16)
+    assert "Aggregate [id" not in r._jdf.queryExecution().optimizedPlan().toString()
+    got = np.array([v[1:] for v in r.orderBy("id").collect()])
+    push, mass = kernels.repulsion(y)
+    assert np.allclose(got[:, :2], push) and got[:, 2].sum() == pytest.approx(mass)
