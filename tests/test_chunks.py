@@ -103,3 +103,28 @@ def test_too_many_chunks_for_the_perplexity(points):
     betas = calibration.calibrate(points, 5)
     with pytest.raises(ValueError, match="perplexity 1 "):
         layout.ptsne(points, betas, 1, threads=30, layers=2, epochs=1, iters=1)
+
+
+@pytest.mark.parametrize("wide", [1e-3, 5.0, 200.0, 1e9])
+def test_best_partners_of_points_are_those_of_distances(wide):
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(300, 8)) + 50, rng.integers(0, 3, (200, 3)).astype(float)):
+        beta, znorm = wide * rng.random(len(x)).round(2), 0.1 + rng.random(len(x))
+        want = kernels.affinities(lambda part: sqdist(x[part], x), beta, znorm, 15)  # noqa: B023
+        got = kernels.affinities_of(x, beta, znorm, 15)
+        assert (got[0] == want[0]).all() and np.array_equal(got[1], want[1])
+
+
+def test_mass_is_that_of_the_repulsion(monkeypatch):
+    y = np.random.default_rng(10).normal(size=(500, 2))
+    assert kernels.mass(y) == pytest.approx(kernels.repulsion(y)[1], rel=1e-12)
+    monkeypatch.setattr(kernels, "NEAR", 3000)
+    assert kernels.mass(y) == pytest.approx(kernels.repulsion(y)[1], rel=1e-12)
+
+
+def test_each_chunk_is_a_task_of_its_own(spark, points):
+    betas = calibration.calibrate(points, 5).cache()
+    assigned = layout.chunk_assignment(points, 4, 2, 1, 1)
+    out = layout._epoch(points, betas, layout.initial(points, 2, 1), assigned, 4, 5, 1, 1.0, 0.5, 0.5)
+    where = [(r["p"], r["worker"]) for r in out.select(F.spark_partition_id().alias("p"), "worker").distinct().collect()]
+    assert len(where) == len({p for p, _ in where}) == len({w for _, w in where}) == 4
