@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.embed import kernels, layout, quadtree
-from terrane.operators import calibration, pairs
+from terrane.operators import calibration, neighbours, pairs
 from terrane.operators.pairs import sqdist
 
 
@@ -128,3 +128,30 @@ def test_each_chunk_is_a_task_of_its_own(spark, points):
     out = layout._epoch(points, betas, layout.initial(points, 2, 1), assigned, 4, 5, 1, 1.0, 0.5, 0.5)
     where = [(r["p"], r["worker"]) for r in out.select(F.spark_partition_id().alias("p"), "worker").distinct().collect()]
     assert len(where) == len({p for p, _ in where}) == len({w for _, w in where}) == 4
+
+
+@pytest.mark.parametrize("held", [3, 40, 4_000_000])
+def test_foremost_leaves_in_all_that_may_be_first(spark, monkeypatch, held):
+    """Whatever a task holds: the first three others of each point by brute force, of a table with pairs twice, in both orders and with selves."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), int(j), float(d)) for i, j, d in zip(rng.integers(0, 25, 900), rng.integers(0, 25, 900), rng.integers(0, 30, 900))]
+    monkeypatch.setattr(neighbours, "HELD", held)
+    given = spark.createDataFrame(rows, "i long, j long, sqdist double").repartition(3)
+    best = {}
+    for i, j, d in rows:
+        for a, b in ((i, j), (j, i)):
+            best.setdefault(a, {a: -1.0})
+            if a != b:
+                best[a][b] = min(d, best[a].get(b, np.inf))
+    want = {i: [j for j, _ in sorted(own.items(), key=lambda t: (t[1], t[0]))][:4] for i, own in best.items()}
+    got = {}
+    for r in neighbours.nearest(given, 4).orderBy("rank").collect():
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == want
+
+
+def test_tasks_leave_in_little_of_a_table_of_distances(spark, points):
+    """Of a table of all pairs each task leaves in three partners a point; before, all pairs were shuffled, in either order."""
+    d = pairs.pair_sqdist(points)
+    plan = neighbours.foremost(pairs.both_ways(d).withColumn("value", F.col("sqdist")), ["i"], [], 3)
+    assert plan.groupBy(F.col("i")).count().where("count > 3 * 8").count() == 0
