@@ -55,3 +55,37 @@ def test_repulsion_gives_back_a_row_a_point(spark):
     got = np.array([v[1:] for v in r.orderBy("id").collect()])
     push, mass = kernels.repulsion(y)
     assert np.allclose(got[:, :2], push) and got[:, 2].sum() == pytest.approx(mass)
+
+
+def test_attraction_moves_places_only(spark):
+    """Affinities are dealt out once: in a round nothing but the layout moves, and it is not broadcast; as the edge join, also where ends have no place."""
+    rng = np.random.default_rng(8)
+    p = spark.createDataFrame([(i, int(j), float(v)) for i in range(200) for j, v in zip(rng.permutation(230)[:15], rng.random(15) - 0.1)], "i long, j long, p double").where("p > 0 and i <> 7")
+    y = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(210, 2)) * 3)] + [(None, 0.0, 0.0)], "id long, y1 double, y2 double")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for groups in (1, 5):
+            pull = layout.pulls(y, layout.tiles(p, groups), groups)
+            got = {r["id"]: tuple(r)[1:] for r in pull.collect()}
+            for r in layout.attractions(y, p).collect():
+                assert got.pop(r["id"]) == pytest.approx(tuple(r)[1:], abs=1e-12)
+            assert all(v == (0, 0, 0) for v in got.values())
+            plan = pull._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+            at = next(n for n, line in enumerate(plan) if "Scan ExistingRDD[g" in line)  # its parents are on the lines before, less far in
+            depth = len(plan[at])
+            for line in reversed(plan[:at]):
+                inner = len(line) - len(line.lstrip(" :+-"))
+                if inner < depth:
+                    depth = inner
+                    moved += [groups] if "Exchange" in line else []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert 5 not in moved  # a single group has no keys to be dealt out by
+
+
+def test_rounds_use_affinities_in_place(spark, monkeypatch):
+    monkeypatch.setattr(layout, "attractions", None)
+    pts = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(30)], "id long, x array<double>")
+    assert layout.mtsne(pts, pts.selectExpr("id", "1.0D beta", "1.0D znorm"), 5, iters=1, theta=0.0).y.count() == 30
