@@ -131,7 +131,11 @@ def neighbours(grid: DataFrame, g: int, cross: bool = False) -> DataFrame:
 
 
 def peaks(raster: DataFrame, g: int) -> DataFrame:
-    """(cell, z) of the cells that none of their neighbours exceeds."""
+    """(cell, z) of the cells that none of their neighbours exceeds.
+
+    The raster is computed once: sums of another order have other last digits, and a peak would be held against its own.
+    """
+    raster = checkpointed(raster)
     z = raster.select(F.col("cell").alias("nb"), F.col("z").alias("nz"))
     top = neighbours(raster, g).join(z, "nb").groupBy("cell").agg(F.max("nz").alias("top"))
     return raster.join(top, "cell").where("z >= top").select("cell", "z")

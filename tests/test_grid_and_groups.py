@@ -108,3 +108,20 @@ def test_mixture_is_a_function_of_ids(spark):
     for c in range(5):
         x = np.array([r["x"] for r in whole.values() if r["label"] == c])
         assert len(x) > 600 and (x.std(axis=0) > 0.4).all() and (x.std(axis=0) < 2.2).all() and np.ptp(x.std(axis=0)) < 0.3
+
+
+def test_a_peak_is_held_against_the_same_sums(spark):
+    """Rasters that differ in their last digits whenever they are computed, as sums of fetched parts do."""
+    z = np.zeros((15, 15))
+    z[1::3, 1::3] = np.arange(25).reshape(5, 5) + 1
+    z += np.arange(225).reshape(15, 15) * 1e-6
+
+    def run(frames):
+        rng = np.random.default_rng()
+        for f in frames:
+            f["z"] *= 1 + rng.uniform(-1e-13, 1e-13, len(f))
+            yield f
+
+    made = raster(spark, z).mapInPandas(run, "cell long, cx int, cy int, z double")
+    want = {x + 15 * y for x in range(1, 15, 3) for y in range(1, 15, 3)}
+    assert {r["cell"] for r in landscape.peaks(made, 15).collect()} == want
