@@ -1,5 +1,6 @@
 """Chunks of the chunk-parallel layout: slabs against whole matrices, memory, tables of distances, numbers of chunks."""
 
+import os
 import tracemalloc
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from terrane.embed import kernels, layout, quadtree
 from terrane.operators import calibration, neighbours, pairs
 from terrane.operators.pairs import sqdist
+from terrane.plans import catalogue
 
 
 def whole(sq, beta, znorm, size):
@@ -155,3 +157,19 @@ def test_tasks_leave_in_little_of_a_table_of_distances(spark, points):
     d = pairs.pair_sqdist(points)
     plan = neighbours.foremost(pairs.both_ways(d).withColumn("value", F.col("sqdist")), ["i"], [], 3)
     assert plan.groupBy(F.col("i")).count().where("count > 3 * 8").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["ptsne_distance_map"])
+def test_layouts_take_all_rounds_of_the_scheme(spark, monkeypatch, name):
+    """A start and every epoch, each of all iterations; before, two or four epochs."""
+    rounds = []
+
+    def unmoved(points, betas, y, assigned, threads, size, iters, *rest):
+        rounds.append(iters)
+        return y.join(assigned, ["id", "layer"]).select("id", "layer", "y1", "y2", "worker", F.lit(1.0).alias("cost"))
+
+    monkeypatch.setattr(layout, "_epoch", unmoved)
+    n = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() // 2
+    plan = layout.scheme(n)
+    assert rounds == [0] + [plan["iters"]] * plan["epochs"]
