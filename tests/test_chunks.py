@@ -160,7 +160,7 @@ def test_tasks_leave_in_little_of_a_table_of_distances(spark, points):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["ptsne_distance_map", "ptsne_map"])
+@pytest.mark.parametrize("name", ["ptsne_distance_map", "ptsne_map", "ptsne_sparse_map"])
 def test_layouts_take_all_rounds_of_the_scheme(spark, monkeypatch, name):
     """A start and every epoch, each of all iterations; before, two or four epochs."""
     rounds = []
