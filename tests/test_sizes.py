@@ -5,6 +5,7 @@ import pytest
 
 from terrane.embed import kernels, layout
 from terrane.operators import neighbours, quality
+from terrane.operators.pairs import sqdist
 
 from test_neighbours import brute, found, frame
 
@@ -89,3 +90,25 @@ def test_rounds_use_affinities_in_place(spark, monkeypatch):
     monkeypatch.setattr(layout, "attractions", None)
     pts = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(30)], "id long, x array<double>")
     assert layout.mtsne(pts, pts.selectExpr("id", "1.0D beta", "1.0D znorm"), 5, iters=1, theta=0.0).y.count() == 30
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "grid", "far", "one place", "not numbers"])
+def test_ranks_from_products_are_those_of_differences(monkeypatch, kind):
+    """Hardly any distance is computed by differences, and none is in another step for it."""
+    monkeypatch.setattr(quality, "PART", 100)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 6))
+    if kind == "copies":
+        x = np.repeat(x[:300], 2, axis=0)
+    elif kind == "not numbers":
+        x[rng.random(600) < 0.05, 2] = np.nan
+    else:
+        x = {"grid": np.round(x), "far": x + 1e5, "one place": x * 0}.get(kind, x)
+    ids, sizes, asked = rng.permutation(600), np.array(quality.kset(600)), []
+    for k, (d, err, exact) in enumerate(quality.Near(x).rows(x[:40])):
+        rank = np.empty(600, np.int64)
+        rank[np.lexsort((ids, sqdist(x[k : k + 1], x)[0]))] = np.arange(1, 601)
+        got = quality.steps_of(d, err, lambda places: asked.append(len(ids[places])) or exact(places), ids, sizes)  # noqa: B023
+        assert (got == np.searchsorted(sizes, rank)).all()
+    assert kind != "plain" or not asked
+    assert kind != "copies" or sum(asked) < 40 * 600 / 2
